@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import mixing, quality, sharding
+from freshet.llm import decontam, mixing, neardup, quality, sharding
 from freshet.llm.common import cut
 
 
@@ -16,6 +16,14 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep(docs, shingle=5, threshold=0.8)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -24,7 +32,7 @@ def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("quality rules", stage_quality), ("source mix", stage_mix), ("shards", stage_shard)]
+STAGES = [("quality rules", stage_quality), ("near-duplicates", stage_near), ("decontamination", stage_decontaminate), ("source mix", stage_mix), ("shards", stage_shard)]
 #: Near-duplicate components and iterative propagation are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 

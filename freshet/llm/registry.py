@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, mixing, quality, sharding, tokens
+from freshet.llm import chat, decontam, mixing, neardup, quality, sharding, tokens
 from freshet.llm.common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations")
     probe = "</s>[INST] ok [/INST]"
@@ -35,6 +39,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chats.select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op3_chat_format, op7_mix_sources, op8_token_counts, op9_shard)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op2_decontaminate, op3_chat_format, op4_near_duplicates, op7_mix_sources, op8_token_counts, op9_shard)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, decontam, mixing, neardup, quality, sharding, tokens
+from freshet.llm import chat, decontam, htmltext, langid, mixing, neardup, pii, quality, sharding, tokens
 from freshet.llm.common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,26 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablation, op2_decontaminate, op3_chat_format, op4_near_duplicates, op7_mix_sources, op8_token_counts, op9_shard)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        quality_ablation,
+        op2_decontaminate,
+        op3_chat_format,
+        op4_near_duplicates,
+        op5_language,
+        op6_personal_data,
+        op7_mix_sources,
+        op8_token_counts,
+        op9_shard,
+        op10_main_text,
+    )
+}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

@@ -1,4 +1,11 @@
 """Queries by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from freshet.plans import places, roads, terrain, times
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (places, terrain, times, roads):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

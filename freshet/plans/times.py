@@ -121,7 +121,7 @@ def cascade_reservoir(spark, d):
             F.struct(F.lit(7200.0).alias("lead_s"), (2000.0 + (k % 10) * 400).alias("peak"), F.lit(50.0).alias("base")).alias("upstream"),
             F.struct(F.lit(3600.0).alias("k_s"), F.lit(0.2).alias("x")).alias("routing"),
             F.struct(F.lit(100.0).alias("bed"), F.lit(120.0).alias("full"), F.lit(121.5).alias("crest"), (2e7 + (k % 7) * 1e6).alias("volume")).alias("reservoir"),
-            F.struct(F.lit(60.0).alias("length"), F.lit(119.0).alias("crest")).alias("spillway"),
+            F.struct(F.lit(60.0).alias("length"), F.lit(119.0).alias("crest"), F.lit(400.0).alias("most")).alias("spillway"),
             F.struct(F.lit(120.0).alias("width"), F.lit(1800.0).alias("formation_s")).alias("breach"),
         )
     )

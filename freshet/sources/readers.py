@@ -188,8 +188,9 @@ def longest_prefix(names: DataFrame, keys: DataFrame) -> DataFrame:
 
 def tolerant_text(content: Column) -> Column:
     """Bytes as text: UTF-8 (a byte order mark dropped) where they are valid, else Windows Latin."""
-    utf8 = F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
-    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.decode(content, "windows-1252"))
+    utf8 = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", "")
+    high = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
+    return F.coalesce(utf8, F.translate(F.decode(content, "iso-8859-1"), "".join(map(chr, range(0x80, 0xA0))), "".join(high)))
 
 
 def verified_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:

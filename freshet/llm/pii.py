@@ -198,7 +198,8 @@ def model() -> dict[str, tuple[list, float]]:
         good, threshold = 0, math.inf
         for n, (s, y) in enumerate(ranked, 1):
             good += y
-            if good >= TARGET_PRECISION * n:
+            tied = n < len(ranked) and ranked[n][0] == s  # all of a score pass or none
+            if not tied and good >= TARGET_PRECISION * n:
                 threshold = s
         fitted[kind] = (trees, threshold)
     return fitted

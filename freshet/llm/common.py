@@ -68,7 +68,7 @@ def spread(key: Column, salt: str) -> Column:
     return F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def hex_digits(n_rows: int, per_range: int = 20_000) -> int:
+def hex_digits(n_rows: int, per_range: int = 1_000) -> int:
     """How many leading hex digits cut a random order into ranges of about ``per_range`` rows."""
     digits = 0
     while n_rows > per_range * 16**digits and digits < 7:

@@ -71,7 +71,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     rows = cut(slim_rows(docs, key, text, shards))
     total = rows.count()
     quota = total // shards
-    groups = rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
+    # Written first: both sides of the join are then dealt anew, and Spark can split a large group's partition.
+    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1"))
     marked = cut(rows.join(groups, "group", "left"))
     linked = marked.filter("members is not null")
     state = linked.groupBy("group", "start").agg(F.count("*").alias("n")).withColumn("label", F.col("start"))
@@ -93,9 +94,10 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     ends = F.array(*[F.lit(b).cast("long") for b in bounds])
     free = free.withColumn("label", F.size(F.filter(ends, lambda e: e <= F.col("rank"))).cast("int"))
     whole = free.select("id", "size", "text_crc32", "key", "label").unionByName(placed.filter("label is not null"))
-    whole = whole.withColumn("one", F.lit(1))
+    # A fresh key: documents without links came to their shard by intervals of the old one.
+    whole = whole.withColumns({"one": F.lit(1), "__again": F.md5("key")})
     per_shard = hex_digits(max(1, total // shards))
-    slots = running(whole, ["label"], ["id", "size", "text_crc32"], "key", per_shard, "one", "slot")
+    slots = running(whole, ["label"], ["id", "size", "text_crc32"], "__again", per_shard, "one", "slot")
     return slots.select("id", "size", "text_crc32", F.col("label").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), "key")
 
 

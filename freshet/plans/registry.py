@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from freshet.plans import places, roads, terrain, times
+from freshet.plans import places, reaches, roads, terrain, times
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (places, terrain, times, roads):
+for _module in (places, terrain, reaches, times, roads):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -63,6 +63,15 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of ids and numbers that are broadcast at most: some tens of bytes each, so some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The frame with a broadcast hint if it is counted to be small; else as it is, and Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def spread(key: Column, salt: str) -> Column:
     """32 hex digits that order rows at random, the same in any engine with md5()."""
     return F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit(""))))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.llm.common import WORD, cut, hex_digits, pack, running, spread
+from freshet.llm.common import WORD, cut, hex_digits, pack, running, small, spread
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -102,10 +102,3 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     times = _times(F.col("__key")).cast("int")
     return got.select("__row", F.explode(F.array_repeat(F.lit(1), times))).select("__row.*")
 
-
-#: Sources that are broadcast at most; beyond it Spark chooses the join.
-BROADCAST_SOURCES = 100_000
-
-
-def small(budgets: DataFrame) -> DataFrame:
-    return F.broadcast(budgets) if budgets.count() <= BROADCAST_SOURCES else budgets

@@ -6,18 +6,19 @@ share of one function's range, so that texts of a few words fill every bucket as
 set are one class from here on, so copies cost nothing. Bands of compressed registers name the buckets in which classes
 meet:
 
-1. Star: in every band bucket each class is paired with the bucket's smallest; one pair for each member.
+1. Star: in every band bucket each class is paired with the bucket's smallest; pairs that meet in two bands or more go on.
 2. Pairs pass the collision-corrected Jaccard estimate of their sketches (five standard deviations below the threshold
-   are let through) and then the exact test on their full shingle sets.
-3. Confirmed links give components. Only buckets whose members are not yet in one component are looked at again, and
-   there only pairs from different components, which pass through the same two tests.
+   are let through) and then the exact test on their full shingle sets. Confirmed links give components.
+3. Only in buckets whose members are still in several components, members of different components are compared, inside
+   blocks of bounded size (every pair of blocks meets once; a pair counts in the first band that its texts share). What
+   leaves a task are, from crowded buckets, whose members bring their sets, confirmed links that join components (fewer
+   than members), and from small ones likely pairs, which go through step 2.
 
-So links that step 1 lost, because a bucket's smallest member was not the near one, come back in step 3, and a bucket
-full of near copies is settled by its star, never by all its pairs. Two texts at exactly the threshold share no band with
-probability (1 - 0.8**5)**40, about 1e-7.
+So no link is lost to the choice of stars, and a bucket full of near copies is never written out as all its pairs. Two texts at
+exactly the threshold share no band with probability (1 - 0.8**6)**54, about 7e-8.
 
-Null, empty and blank texts have no shingles and are linked with nothing. Keys are expected to be unique; rows repeated as a whole
-share their result. An empty table gives no rows. Sketching is vectorised Python (free style); joins and aggregations are
+Null, empty and blank texts have no shingles and are linked with nothing, nor are rows with a null key, which no link could
+name; all of them are kept. Keys are expected to be unique; rows repeated as a whole share their result. An empty table gives no rows. Sketching is vectorised Python (free style); joins and aggregations are
 Spark's, on slim rows; full sets are rebuilt from the texts of candidates only.
 """
 
@@ -31,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import vec
-from freshet.llm.common import cut, drop_cut
+from freshet.llm.common import cut, drop_cut, small
 
-BANDS = 40
-ROWS = 5
+BANDS = 54
+ROWS = 6
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
+#: Members of a block, when a bucket is compared inside.
+BLOCK = 2048
+#: Buckets of so many members or more are compared on full sets inside their blocks, smaller ones on sketches first.
+CROWD = 16
 
 _rng = np.random.default_rng(977)
 _FLIP = _rng.integers(0, 1 << 32, BUCKETS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -140,13 +145,19 @@ def _confirm(percent: int):
     return run
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with one of the ids. While the list is small, the rows (sketches or whole texts) aren't shuffled for it."""
+    return rows.join(small(ids), "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) that pass the estimate and then the exact test. texts: (id, text)."""
-    one = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"r_{s}"))
+    named = lambda df: cut(df.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sketches = _only(classes.select("id", "n", "regs"), named(pairs))
+    one = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"r_{s}"))
     sketched = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     likely = cut(sketched.mapInArrow(_likely(threshold), "a long, b long"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(texts.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"))
+    sets = cut(_only(texts, named(likely)).mapInArrow(_sets(k), "id long, set binary"))
     # Rows repeated as a whole would double a pair; links are made distinct below.
     s = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}"))
     full = likely.join(s("a"), "a").join(s("b"), "b").select("a", "b", "s_a", "s_b")
@@ -160,20 +171,21 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component): each linked id's smallest reachable id, by alternating stars; ids without links are absent.
 
     Large star: every larger neighbour of u is linked to the smallest of u and its neighbours. Small star: u and its smaller
-    neighbours are linked to the smallest of them. Both keep components; the edges end as stars. Minima are
-    aggregated before they are joined back, so a hub with a third of all edges is a skewed side that Spark can split.
+    neighbours are linked to the smallest of them. Both keep components; the edges end as stars. Minima are aggregated and
+    written before they are joined back, by broadcast while they are few, else as two shuffled sides, so that a hub with a
+    third of all edges is a skewed partition that Spark can split.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sym.join(small(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(least, "u")
-        small = joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
-        new = cut(small)
+        joined = large.join(small(least), "u")
+        stars = joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
+        new = cut(stars)
         for x in (edges, low, large, least):
             drop_cut(x)
         edges = new
@@ -183,42 +195,123 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _open(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, id, n, comp): the members of buckets that hold more than one component."""
+    at = cut(members.join(small(known), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    several = cut(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
+    return cut(at.join(small(several), "key"))
+
+
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    return vec.mix((regs.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _compare(threshold: float):
+    percent = round(100 * threshold)
+    least = threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of a bucket's two blocks (or of one block with itself) from different components: near ones where the sets
+        are there, else likely ones."""
+        key, first, second = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        ids, n, comp, own = (table.column(c).to_numpy() for c in ("id", "n", "comp", "own"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys = _band_keys(regs)
+        band = int(np.argmax(keys[0] == key))
+        sets = None
+        if table.column("set").null_count == 0:
+            flat, ends = np.frombuffer(b"".join(table.column("set").to_pylist()), np.uint64), np.cumsum(n)
+            vocab, flat = np.unique(flat, return_inverse=True)
+            sets = np.split(flat, ends[:-1])
+            mark = np.zeros(len(vocab), bool)
+        right = np.flatnonzero(own == second)
+        got_a, got_b = [], []
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x in np.flatnonzero(own == first).tolist():
+            y = right[(ids[right] > ids[x]) if first == second else (ids[right] != ids[x])]
+            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+            y = y[(regs[y] == regs[x]).mean(axis=1) >= least]  # before the correction for chance, so never too strict
+            if len(y) and sets is not None:
+                mark[sets[x]] = True
+                both = np.add.reduceat(mark[np.concatenate([sets[k] for k in y])], np.cumsum([0, *n[y[:-1]]]), dtype=np.int64)
+                mark[sets[x]] = False
+                joins = []
+                for z in y[100 * both >= percent * (n[y] + n[x] - both)].tolist():
+                    a, b = find(int(comp[x])), find(int(comp[z]))
+                    if a != b:  # a link inside a component of this block adds nothing
+                        root[max(a, b)] = min(a, b)
+                        joins.append(z)
+                y = np.array(joins, np.int64)
+            if len(y):
+                got_a.append(np.minimum(ids[y], ids[x]))
+                got_b.append(np.maximum(ids[y], ids[x]))
+        cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": cat(got_a), "b": cat(got_b), "sure": pa.array(np.full(sum(map(len, got_a)), sets is not None))})
+
+    return run
+
+
+def _in_blocks(open_: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b, sure): links or likely pairs between components of the open buckets. A bucket of m members is dealt into m / BLOCK
+    blocks by a hash of the id, and each pair of blocks is one group, so no group grows with the bucket."""
+    size = small(cut(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), (F.count("*") >= CROWD).alias("crowded"))))
+    rows = cut(open_.join(size, "key"))
+    ids = lambda df: cut(df.select("id").distinct())
+    crowd = cut(_only(texts, ids(rows.filter("crowded"))).mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]))
+    rows = rows.join(_only(classes.select("id", "regs"), ids(rows)), "id")
+    rows = rows.filter("not crowded").withColumn("set", F.lit(None).cast("binary")).unionByName(rows.filter("crowded").join(crowd, "id"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "comp", "own", "regs", "set")
+    got = cut(rows.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "a long, b long, sure boolean").distinct())
+    drop_cut(crowd)
+    return got
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row for each document: id, n_shingles, class (smallest id with the same set), component, kept."""
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
     sketches = cut(texts.mapInArrow(_sketch(shingle), "id long, n long, digest binary, regs binary"))
-    some = sketches.filter("n > 0")
+    some = sketches.filter("n > 0 and id is not null")
     classes = cut(some.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("digest", "c.*"))
-    # A set of s shingles can only be near one that shares a shingle; single-shingle sets are settled by their class.
-    bands = cut(classes.filter(F.lit(threshold) * (F.col("n") + 1) <= F.col("n")).select("id", "n", "regs").mapInArrow(_bands, "key long, id long, n long"))
-    hubs = cut(bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "h"))
-    met = cut(bands.join(hubs, "key"))
-    drop_cut(bands)
 
     def sized(a: str, b: str):
         """Sets of these sizes can reach the threshold."""
         percent = round(100 * threshold)
         return (100 * F.least(F.col(a), F.col(b))) >= percent * F.greatest(F.col(a), F.col(b))
 
-    star = met.filter(F.col("id") != F.col("h.id")).filter(sized("n", "h.n")).select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star)
+    # A set of s shingles can only be near one that shares a shingle; single-shingle sets are settled by their class.
+    bands = cut(classes.filter(F.lit(threshold) * (F.col("n") + 1) <= F.col("n")).select("id", "n", "regs").mapInArrow(_bands, "key long, id long, n long"))
+    hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # A bucket of two whose sizes can't reach the threshold is no meeting.
+    hubs = cut(hubs.filter((F.col("c") > 2) | (F.col("c") == 2) & sized("lo", "hi")).select("key", "h"))
+    met = cut(bands.join(small(hubs), "key"))  # rows of buckets with company
+    drop_cut(bands)
+    star = met.filter(F.col("id") != F.col("h.id")).filter(sized("n", "h.n")).select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+    star = cut(star.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b"))
     links = confirm(star, classes, texts, shingle, threshold)
     known = cut(components(links))
-    # Buckets whose members are in several components, and there the pairs between components.
-    at = met.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    at = cut(at)
-    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_ = cut(at.join(split, "key", "left_semi"))
-    x, y = open_.toDF("key", "a", "n_a", "c_a"), open_.toDF("key", "b", "n_b", "c_b")
-    cross = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized("n_a", "n_b")).select("a", "b").distinct()
-    cross = cut(cross.join(star, ["a", "b"], "left_anti"))
-    more = confirm(cross, classes, texts, shingle, threshold)
-    final = components(links.unionByName(more))
-    final = final.select(F.col("id").alias("class"), "component")
+    open_ = _open(met.select("key", "id", "n"), known)
+    if not open_.isEmpty():
+        got = _in_blocks(open_, classes, texts, shingle, threshold)
+        more = got.filter("sure").select("a", "b")
+        likely = got.filter("not sure").select("a", "b")
+        if not likely.isEmpty():
+            more = more.unionByName(confirm(likely, classes, texts, shingle, threshold))
+        if not more.isEmpty():
+            known = cut(components(links.unionByName(more)))
+    final = small(known.select(F.col("id").alias("class"), "component"))
     mine = sketches.select("id", "n", "digest").join(classes.select("digest", F.col("id").alias("class")), "digest", "left")
-    mine = mine.withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")))
+    mine = mine.withColumn("class", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id")))
     got = mine.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    return got.select("id", F.col("n").alias("n_shingles"), "class", F.col("component").alias("component"), (F.col("id") == F.col("component")).alias("kept"))
+    return got.select("id", F.col("n").alias("n_shingles"), "class", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, threshold: float = 0.8) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from freshet.llm import neardup, vec
+from freshet.llm import common, neardup, vec
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,10 +64,10 @@ def copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("crowd, rounds, block", [(16, 1, 2048), (2, 0, 7), (10_000, 0, 50)])
-def test_crowds_and_blocks_lose_no_link(spark, monkeypatch, crowd, rounds, block):
+@pytest.mark.parametrize("crowd, listed, block", [(16, 1_000_000, 2048), (2, 0, 7), (10_000, 0, 50)])
+def test_crowds_and_blocks_lose_no_link(spark, monkeypatch, crowd, listed, block):
     monkeypatch.setattr(neardup, "CROWD", crowd)
-    monkeypatch.setattr(neardup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", listed)
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = copies(crowd, 150)
     check(neardup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows, 2)

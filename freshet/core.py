@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; only where no cluster names one is a local folder taken."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     base = base or "file://" + tempfile.mkdtemp(prefix="freshet-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -98,29 +98,49 @@ def leave_by(last: DataFrame, origins: DataFrame, lo: float, hi: float) -> DataF
     return got.withColumn("status", status).withColumn("leave_by_min", F.when(F.col("status") == "leave_by", F.floor((F.col("last") - 1e-9) * 10) / 10)).drop("last")
 
 
-def earliest_arrival(edges: DataFrame, origins: DataFrame, targets: DataFrame, depart: float, minutes: str = "minutes", closes: str = "cut_min") -> DataFrame:
-    """(origin, target, arrival, path): first arrival at any target; a link is usable if its end is reached strictly before it closes.
+def earliest_arrival(edges: DataFrame, origins: DataFrame, targets: DataFrame, depart: float | None = None, minutes: str = "minutes", closes: str = "cut_min") -> DataFrame:
+    """(origin, target, arrival, spare, path): first arrival at any target; a link is usable if its end is reached strictly before it closes.
 
-    Forward relaxation for all origins together; a settled worse way is dropped as soon as a better one is known,
-    and ways that already arrive later than the origin's best target stop. path: nodes from origin to target.
+    origins: (id), leaving at ``depart``, or (id, depart). Forward relaxation for all origins together; a worse way
+    is dropped as soon as a better one is known, and ways that already arrive later than the origin's best target stop.
+    path: nodes from origin to target. spare: how much later one could have left by the same path (exclusive).
     """
     links = cut(undirected(edges.filter("u <> v"), minutes, closes).withColumn("closes", F.coalesce(F.col(closes).cast("double"), F.lit(float("inf")))).select("a", "b", minutes, "closes"))
     goal = targets.select(F.col("id").alias("goal")).distinct()
-    best = cut(origins.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(float(depart)).alias("at"), F.array("id").alias("path")).distinct())
+    at = F.col("depart").cast("double") if depart is None else F.lit(float(depart))
+    best = cut(origins.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.struct(at.alias("at"), F.array("id").alias("path"), F.lit(float("inf")).alias("spare")).alias("s")).distinct())
     front = best
     while not front.isEmpty():
-        moved = front.join(links, F.col("node") == F.col("a")).withColumn("t", F.col("at") + F.col(minutes)).filter("t < closes")
-        moved = moved.groupBy("origin", F.col("b").alias("node")).agg(F.min(F.struct(F.col("t").alias("at"), F.concat("path", F.array("b")).alias("path"))).alias("m"))
-        new = best.withColumn("old", F.lit(True)).join(moved, ["origin", "node"], "full")
-        better = F.col("at").isNull() | (F.col("m.at") < F.col("at"))
-        new = new.select("origin", "node", F.when(better, F.col("m.at")).otherwise(F.col("at")).alias("at"), F.when(better, F.col("m.path")).otherwise(F.col("path")).alias("path"), F.coalesce(better, F.lit(False)).alias("fresh"))
+        moved = front.join(links, F.col("node") == F.col("a")).withColumn("t", F.col("s.at") + F.col(minutes)).filter("t < closes")
+        step = F.struct(F.col("t").alias("at"), F.concat("s.path", F.array("b")).alias("path"), F.least(F.col("s.spare"), F.col("closes") - F.col("t")).alias("spare"))
+        moved = moved.groupBy("origin", F.col("b").alias("node")).agg(F.min(step).alias("m"))
+        better = F.coalesce(F.col("s").isNull() | (F.col("m.at") < F.col("s.at")), F.lit(False))
+        new = best.join(moved, ["origin", "node"], "full").select("origin", "node", F.when(better, F.col("m")).otherwise(F.col("s")).alias("s"), better.alias("fresh"))
         new = cut(new)
         drop_cut(best)
-        best = new.select("origin", "node", "at", "path")
-        reached = best.join(goal, F.col("node") == F.col("goal")).groupBy("origin").agg(F.min("at").alias("bound"))
-        front = new.filter("fresh").join(reached, "origin", "left").filter("bound is null or at < bound").select("origin", "node", "at", "path")
-    got = best.join(goal, F.col("node") == F.col("goal")).groupBy("origin").agg(F.min(F.struct("at", F.col("node").alias("target"), "path")).alias("m"))
-    return got.select("origin", "m.target", F.col("m.at").alias("arrival"), "m.path")
+        best = new.select("origin", "node", "s")
+        reached = best.join(goal, F.col("node") == F.col("goal")).groupBy("origin").agg(F.min("s.at").alias("bound"))
+        front = new.filter("fresh").join(reached, "origin", "left").filter("bound is null or s.at < bound").select("origin", "node", "s")
+    got = best.join(goal, F.col("node") == F.col("goal")).groupBy("origin").agg(F.min(F.struct(F.col("s.at").alias("at"), F.col("node").alias("target"), F.col("s.path").alias("path"), F.col("s.spare").alias("spare"))).alias("m"))
+    return got.select("origin", "m.target", F.col("m.at").alias("arrival"), "m.spare", "m.path")
+
+
+def route_variants(edges: DataFrame, origins: DataFrame, targets: DataFrame, lo: float, hi: float, minutes: str = "minutes", closes: str = "cut_min") -> DataFrame:
+    """(origin, dep_from, dep_to, target, travel, path): for every departure in [lo, hi], in tenths of a minute, the first route to a target.
+
+    Links only close, so a best route stays best until its own last safe departure; the next one is looked for a tenth
+    later. A round searches for all origins that still have departures left, so rounds count variants, not departures.
+    """
+    open_ = cut(origins.select("id", F.lit(float(lo)).alias("depart")))
+    done = None
+    while not open_.isEmpty():
+        got = earliest_arrival(edges, open_, targets, None, minutes, closes).join(open_, F.col("origin") == F.col("id"))
+        last = F.least(F.col("depart") + F.col("spare"), F.lit(hi + 0.1))
+        to = F.greatest(F.col("depart"), F.least(F.lit(float(hi)), F.floor((last - 1e-9) * 10) / 10))
+        found = cut(got.select("origin", F.col("depart").alias("dep_from"), F.round(to, 1).alias("dep_to"), "target", (F.col("arrival") - F.col("depart")).alias("travel"), "path"))
+        done = found if done is None else done.unionByName(found)
+        open_ = cut(found.select(F.col("origin").alias("id"), F.round(F.col("dep_to") + 0.1, 1).alias("depart")).filter(F.col("depart") <= hi))
+    return done
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame, cost: str = "minutes") -> DataFrame:

@@ -69,6 +69,12 @@ def test_diamond_replans_and_leave_by(spark):
     assert one(graph.leave_by(last, origin, 70.0, 90.0))["status"] == "none"
 
 
+def test_route_variants_meet_at_a_tenth(spark):
+    origin, target = (spark.createDataFrame([(x,)], "id string") for x in "AM")
+    got = graph.route_variants(diamond(spark), origin, target, 0.0, 100.0).orderBy("dep_from").collect()
+    assert [(r.dep_from, r.dep_to, r.path[1]) for r in got] == [(0.0, 16.6, "B"), (16.7, 63.3, "C")]
+
+
 def test_path_bound(spark):
     steps = F.array(F.struct(F.lit(10.0).alias("minutes"), F.lit(30.0).alias("closes")), F.struct(F.lit(10.0).alias("minutes"), F.lit(25.0).alias("closes")))
     assert spark.range(1).select(graph.path_bound(steps)).first()[0] == 5.0

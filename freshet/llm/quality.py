@@ -10,6 +10,7 @@ Nulls count as empty texts; an empty text has no words and fails ``few_words``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,20 +24,23 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where ``fails`` holds over the measurements."""
+    """A rule fails where ``fails`` holds over the measurements (a struct)."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclaim", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 #: The order fixes the bits; append, never reorder.
 RULES = (
-    Rule("few_words", "n_words < 10"),
-    Rule("repeated_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", "100 * n_symbols > 20 * word_chars"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
-    Rule("long_words", "word_chars > 40 * n_words"),
-    Rule("exclamation", "n_exclaim > n_words"),
+    Rule("few_words", lambda m: m["n_words"] < 10),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbols", lambda m: 100 * m["n_symbols"] > 20 * m["word_chars"]),
+    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("long_words", lambda m: m["word_chars"] > 40 * m["n_words"]),
+    Rule("exclamation", lambda m: m["n_exclaim"] > m["n_words"]),
 )
 BIT = {r.name: 1 << k for k, r in enumerate(RULES)}
 BASE = ("few_words", "repeated_words")
@@ -53,13 +57,11 @@ def mask(policy: int) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
 
-def _repeated(w: Column, n: Column) -> Column:
+def _repeated(w: Column, hashed: Column, n: Column) -> Column:
     """Words inside windows that occur twice or more. Equal window hashes only send a text to the exact count."""
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__hash"), i, WINDOW)))
-    keyed = F.transform(
-        F.sequence(F.lit(1), n - (WINDOW - 1)),
-        lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("k"), i.alias("i")),
-    )
+    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(hashed, i, WINDOW)))
+    keyed = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("k"), i.alias("i")))
 
     def covered(s: Column) -> Column:
         twice = F.filter(
@@ -79,37 +81,40 @@ def _repeated(w: Column, n: Column) -> Column:
     return F.when(n < WINDOW, 0).when(none, 0).otherwise(let(F.sort_array(keyed), covered))
 
 
-def measure(packed: DataFrame, text: str = "__text") -> DataFrame:
-    """Adds the measurements of the text column to a packed frame."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    first = packed.withColumn("__words", words(F.col(text)))
-    first = first.withColumns(
-        {
-            "n_words": F.size("__words"),
-            "__hash": F.transform("__words", lambda w: F.xxhash64(w)),
-            "__lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(WS.replace("[", "[^"))),
+def measurements(text: Column) -> Column:
+    """struct of all measurements and fail_bits, as one expression: words and lines are bound once inside it, so it costs
+    the same wherever the optimiser moves it (a filter pushed below a projection would otherwise split words anew in every
+    step of a lambda)."""
+
+    def of(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WS.replace("[", "[^")))
+        return let(words(t), lambda w: let(lines, lambda ls: let(base(t, w, ls), with_bits)))
+
+    def base(t: Column, w: Column, ls: Column) -> Column:
+        repeated = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _repeated(w, h, F.size(w)))
+        values = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]++", "")),
+            "n_exclaim": F.length(F.regexp_replace(t, "[^!]++", "")),
+            "n_lines": F.size(ls),
+            "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls)),
+            "n_repeat_words": repeated,
         }
-    )
-    return first.withColumns(
-        {
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]++", "")).cast("long"),
-            "n_exclaim": F.length(F.regexp_replace(t, "[^!]++", "")).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("__words"), F.col("n_words")).cast("long"),
-            "n_words": F.col("n_words").cast("long"),
-        }
-    ).drop("__words", "__hash", "__lines")
+        return F.struct(*[c.cast("long").alias(k) for k, c in values.items()])
+
+    def with_bits(m: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for rule in RULES:
+            bits = bits.bitwiseOR(F.when(rule.fails(m), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[k].alias(k) for k in MEASURES], bits.alias("fail_bits"))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``__row`` (the document), the measurements and ``fail_bits``."""
-    out = measure(pack(docs, __text=docs[f"`{text}`"])).drop("__text")
-    bits = F.lit(0).cast("long")
-    for rule in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("fail_bits", bits)
+    return pack(docs, __m=measurements(docs[f"`{text}`"])).select("__row", "__m.*")
 
 
 def verdict(led: DataFrame, policy: int = CURRENT) -> DataFrame:
@@ -138,7 +143,8 @@ def ablation(led: DataFrame, policy: int = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", policy: int = CURRENT) -> DataFrame:
     """The documents that the policy keeps, with their own columns only."""
-    return verdict(ledger(docs, text), policy).filter("kept").select("__row.*")
+    rejects = F.lit(mask(policy) | sum(BIT[b] for b in BASE)).cast("long")
+    return ledger(docs, text).filter(F.col("fail_bits").bitwiseAND(rejects) == 0).select("__row.*")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: int = CURRENT) -> DataFrame:

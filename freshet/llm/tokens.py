@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import shared_dir
+from freshet.llm.common import cut, shared_dir
 
 #: Rows of (id, digest) that are broadcast at most, about 60 bytes each: 60 MB.
 BROADCAST_COPIES = 1_000_000
@@ -148,5 +148,6 @@ def count_tokens(docs: DataFrame, cache: str, name: str = "byte_bpe_50k.json", k
     t = F.coalesce(docs[f"`{text}`"], F.lit(""))
     rows = docs.select(docs[f"`{key}`"].alias(key), F.octet_length(t).cast("long").alias("n_bytes"), content_digest(t).alias("__content"))
     stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer") == tokenizer_digest(name)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = cut(stored)  # so that both sides of the join are dealt anew and a hot text's rows can be split
     got = rows.join(stored, F.col("__content") == F.col("content"), "left")
     return got.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -33,7 +33,7 @@ def pack(df: DataFrame, **named: Column) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only where no cluster names one (tests) is a local folder taken."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
@@ -45,14 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="freshet-"))
-    path = shared_dir(spark)
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -63,6 +58,19 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that go to Python in one batch at most. Texts are long: at Spark's own 10,000, a batch alone is tens of MB, held
+#: by the JVM and by the worker at once.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower this session's Arrow batches to BATCH_ROWS, where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Rows of ids and numbers that are broadcast at most: some tens of bytes each, so some tens of MB.
 BROADCAST_ROWS = 1_000_000
 

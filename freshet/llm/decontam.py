@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import vec
+from freshet.llm.common import short_batches
 
 SIMILARITY = 0.8
 #: How often a sampled step agrees between an item and a stretch at the allowed distance (measured in tests), and the
@@ -37,7 +38,7 @@ MIN_WORDS = 8
 SEGMENT = 60
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _PAD = np.uint64(0)
 _PUNCTUATION = np.zeros(256, bool)
@@ -250,6 +251,7 @@ def _report(shared):
 def find(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, items): one row for each document and block, with the items that it holds."""
     sc = docs.sparkSession.sparkContext
+    short_batches(docs.sparkSession)
     rows = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
     out = None
     for block in blocks(bench, item_key, item_text):
@@ -276,6 +278,7 @@ def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
 def keep(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The documents that hold no item, as they came; each block of the benchmark is one more pass over the rows."""
     sc = docs.sparkSession.sparkContext
+    short_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def clean(shared):

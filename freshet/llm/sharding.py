@@ -111,21 +111,21 @@ def shard_report(docs: DataFrame, key: str = "doc_id", text: str = "text", shard
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """The documents with ``shard`` and ``slot`` beside their own columns (which win where names clash).
 
-    Repeated rows (same id and text) are told apart by their rank among themselves, so each gets a slot of its own.
+    Repeated rows (same id and text) share their places in a list and take one each. Texts are shuffled once.
     """
-    rank = Window.partitionBy("__key", "__crc", "__size").orderBy("__key")
     t = docs[f"`{text}`"]
     rows = pack(
         docs,
         __key=spread(docs[f"`{key}`"], "shard"),
         __crc=F.crc32(F.encode(t, "UTF-8")).cast("long"),
         __size=(F.coalesce(F.octet_length(t), F.lit(0)) + OVERHEAD).cast("long"),
-    ).withColumn("__copy", F.row_number().over(rank))
-    again = Window.partitionBy("key", "text_crc32", "size").orderBy("shard", "slot")
-    at = assign(docs, key, text, shards).withColumn("copy", F.row_number().over(again))
-    on = (F.col("__key") == F.col("key")) & F.col("__crc").eqNullSafe(F.col("text_crc32")) & (F.col("__size") == F.col("size")) & (F.col("__copy") == F.col("copy"))
+    )
+    at = assign(docs, key, text, shards).groupBy("key", "text_crc32", "size").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    on = (F.col("__key") == F.col("key")) & F.col("__crc").eqNullSafe(F.col("text_crc32")) & (F.col("__size") == F.col("size"))
+    copy = F.row_number().over(Window.partitionBy("__key", "__crc", "__size").orderBy("__key"))
+    got = rows.join(at, on).withColumn("__at", F.element_at("places", copy))
     new = [c for c in ("shard", "slot") if c not in docs.columns]
-    return rows.join(at, on).select("__row.*", *new)
+    return got.select("__row.*", *[F.col(f"__at.{c}").alias(c) for c in new])
 
 
 def cut_edges(shards: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import vec
-from freshet.llm.common import cut, drop_cut, small
+from freshet.llm.common import cut, drop_cut, short_batches, small
 
 BANDS = 54
 ROWS = 6
@@ -277,6 +277,7 @@ def _in_blocks(open_: DataFrame, classes: DataFrame, texts: DataFrame, k: int, t
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row for each document: id, n_shingles, class (smallest id with the same set), component, kept."""
+    short_batches(docs.sparkSession)
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
     sketches = cut(texts.mapInArrow(_sketch(shingle), "id long, n long, digest binary, regs binary"))
     some = sketches.filter("n > 0 and id is not null")
@@ -321,5 +322,5 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents without those that have a smaller one in their component; columns as they came."""
-    gone = find(docs, key, text, shingle, threshold).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")
+    gone = cut(find(docs, key, text, shingle, threshold).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct())
+    return docs.join(small(gone), docs[f"`{key}`"] == F.col("__gone"), "left_anti")

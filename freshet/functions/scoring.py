@@ -14,7 +14,7 @@ ROUGHNESS = {10: 0.100, 20: 0.065, 30: 0.040, 40: 0.045, 50: 0.080, 60: 0.035, 7
 DEFAULT_ROUGHNESS = 0.045
 SPEEDS = {"trunk": 60.0, "primary": 50.0, "secondary": 40.0, "tertiary": 30.0, "unclassified": 25.0, "residential": 20.0, "living_street": 10.0}
 WALK_KPH, OTHER_KPH = 4.5, 20.0
-PROVENANCE = ("COMPUTED_LIVE", "PRECOMPUTED", "PROXY_DATA", "SYNTHETIC", "NOT_AVAILABLE")
+PROVENANCE = ("COMPUTED_LIVE", "PRECOMPUTED", "PROXY_DATA", "SYNTHETIC_TERRAIN", "NOT_AVAILABLE")
 #: Depths from which a link is closed, a bridge is closed and a cell is wet (m).
 ROAD_WET, BRIDGE_WET, CELL_WET = 0.30, 3.0, 0.30
 

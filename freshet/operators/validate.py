@@ -31,8 +31,8 @@ def scores(got: DataFrame) -> DataFrame:
 
 
 def agreement(sim: Column, obs: Column, domain: Column) -> Column:
-    """0 outside the domain or both dry, 1 both wet, 2 only simulated, 3 only observed."""
-    return F.when(~F.coalesce(domain, F.lit(False)), 0).when(sim & obs, 1).when(sim & ~obs, 2).when(~sim & obs, 3).otherwise(0)
+    """0 outside the domain or both dry, 1 both wet, 2 only observed (a miss), 3 only simulated (a false alarm)."""
+    return F.when(~F.coalesce(domain, F.lit(False)), 0).when(sim & obs, 1).when(~sim & obs, 2).when(sim & ~obs, 3).otherwise(0)
 
 
 def areas(classes: DataFrame, cls: str, cell_area_m2: float) -> DataFrame:

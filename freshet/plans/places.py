@@ -236,7 +236,7 @@ def score_bands(spark, d):
     )
 
 
-@query("SELECT s_suppkey AS id, ['COMPUTED_LIVE', 'PRECOMPUTED', 'PROXY_DATA', 'SYNTHETIC', 'NOT_AVAILABLE'][coalesce(greatest(CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 5 + 1 END, CASE WHEN s_suppkey % 2 <> 0 THEN s_suppkey % 4 + 1 END), 5)] AS provenance FROM supplier")
+@query("SELECT s_suppkey AS id, ['COMPUTED_LIVE', 'PRECOMPUTED', 'PROXY_DATA', 'SYNTHETIC_TERRAIN', 'NOT_AVAILABLE'][coalesce(greatest(CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 5 + 1 END, CASE WHEN s_suppkey % 2 <> 0 THEN s_suppkey % 4 + 1 END), 5)] AS provenance FROM supplier")
 def provenance_worst(spark, d):
     k = F.col("s_suppkey")
     at = lambda i: F.element_at(F.array(*[F.lit(p) for p in S.PROVENANCE]), i.cast("int"))
@@ -283,12 +283,12 @@ def confusion_scores(spark, d):
     return got.select("tp", "fp", "fn", "tn", *[six(F.col(c)).alias(c) for c in ("csi", "pod", "far", "f1", "bias")], "n_scored")
 
 
-@query(V.sql("--,\n" + _CELLS + "SELECT r, c, CASE WHEN NOT domain THEN 0 WHEN sim AND obs THEN 1 WHEN sim THEN 2 WHEN obs THEN 3 ELSE 0 END AS class FROM x", "frames", "observed"))
+@query(V.sql("--,\n" + _CELLS + "SELECT r, c, CASE WHEN NOT domain THEN 0 WHEN sim AND obs THEN 1 WHEN obs THEN 2 WHEN sim THEN 3 ELSE 0 END AS class FROM x", "frames", "observed"))
 def agreement_map(spark, d):
     return _compared(spark, d).select("r", "c", validate.agreement(F.col("sim"), F.col("obs"), F.col("domain")).alias("class"))
 
 
-@query(V.sql("--,\n" + _CELLS + "SELECT class, count(*)::BIGINT AS n_cells, round(count(*) * 0.015625, 6) AS area_km2 FROM (SELECT CASE WHEN NOT domain THEN 0 WHEN sim AND obs THEN 1 WHEN sim THEN 2 WHEN obs THEN 3 ELSE 0 END AS class FROM x) GROUP BY class", "frames", "observed"))
+@query(V.sql("--,\n" + _CELLS + "SELECT class, count(*)::BIGINT AS n_cells, round(count(*) * 0.015625, 6) AS area_km2 FROM (SELECT CASE WHEN NOT domain THEN 0 WHEN sim AND obs THEN 1 WHEN obs THEN 2 WHEN sim THEN 3 ELSE 0 END AS class FROM x) GROUP BY class", "frames", "observed"))
 def agreement_areas(spark, d):
     got = validate.areas(agreement_map(spark, d), "class", 15_625.0)
     return got.withColumn("area_km2", six(F.col("n_cells") * 0.015625))

@@ -49,7 +49,7 @@ def synthetic_canyon(spark: SparkSession, rows: int, cols: int, base: float = 10
     y, x = F.floor(F.col("id") / cols) / rows, (F.col("id") % cols) / cols
     floor_ = 0.5 + 0.1 * F.sin(6.0 * y)
     z = base + 200.0 * F.pow(F.abs(x - floor_) * 2, F.lit(1.5)) + 80.0 * (1 - y)
-    return spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"), z.alias("z"), F.lit("SYNTHETIC").alias("provenance"))
+    return spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"), z.alias("z"), F.lit("SYNTHETIC_TERRAIN").alias("provenance"))
 
 
 def with_fallback(first, second=None, allowed: bool = False):
@@ -147,7 +147,7 @@ def settlements(places: DataFrame, buffer_deg: float = 0.008) -> DataFrame:
     return named.select("village_id", F.col("name").alias("village_name"), scoring.parsed_count(F.coalesce("population", F.lit(""))).alias("pop_total"), "lon", "lat", ring.alias("ring"))
 
 
-def facilities(features: DataFrame, kinds: tuple = ("hospital", "clinic", "doctors", "school", "college", "fire_station", "police")) -> DataFrame:
+def facilities(features: DataFrame, kinds: tuple = ("hospital", "clinic", "doctors", "school")) -> DataFrame:
     """Places of the wanted kinds, with clinics and doctors counted as hospitals."""
     got = features.filter(F.col("amenity").isin(*kinds))
     return got.withColumn("amenity", F.when(F.col("amenity").isin("clinic", "doctors"), "hospital").otherwise(F.col("amenity")))

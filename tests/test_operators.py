@@ -175,8 +175,8 @@ def test_damage_curve_is_clamped(spark):
 
 
 def test_provenance_and_refusals(spark):
-    x = spark.createDataFrame([("COMPUTED_LIVE", "PROXY_DATA"), (None, None), ("SYNTHETIC", None)], "a string, b string")
-    assert [r[0] for r in x.select(S.worst(F.col("a"), F.col("b"))).collect()] == ["PROXY_DATA", "NOT_AVAILABLE", "SYNTHETIC"]
+    x = spark.createDataFrame([("COMPUTED_LIVE", "PROXY_DATA"), (None, None), ("SYNTHETIC_TERRAIN", None)], "a string, b string")
+    assert [r[0] for r in x.select(S.worst(F.col("a"), F.col("b"))).collect()] == ["PROXY_DATA", "NOT_AVAILABLE", "SYNTHETIC_TERRAIN"]
     modes = {"piping": "progressive_breach", "overtopping": "overtopping_erosion"}
     bad = spark.createDataFrame([("breach",)], "m string").select(S.mechanism(F.col("m"), modes))
     with pytest.raises(Exception, match="ambiguous"):

@@ -81,6 +81,11 @@ def nearest(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def nearer(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether (edits, words) of one hit is a smaller share than another's; at equal shares, fewer edits."""
+    return (a[0] * b[1], a[0]) < (b[0] * a[1], b[0])
+
+
 def plan(n_items: int, recall: float = RECALL) -> tuple[int, int]:
     """(sampled steps, repetitions) for a class of so many items."""
     k = 2 if n_items <= 100 else 3 if n_items <= 2000 else 4
@@ -211,7 +216,7 @@ class Index:
                         d = nearest(item, text)
                         if d <= spare:
                             old = found.setdefault(r, {}).get(self.ids[i])
-                            if old is None or d * old[1] < old[0] * len(item):
+                            if old is None or nearer((d, len(item)), old):
                                 found[r][self.ids[i]] = (d, len(item))
         return found
 
@@ -233,31 +238,38 @@ def _hits(index, column: pa.Array) -> dict:
     return found
 
 
-SCHEMA = "id long, items array<struct<item_id: long, edits: int, words: int>>"
+ITEMS = "array<struct<item_id: long, edits: int, words: int>>"
+SCHEMA = f"id long, text string, items {ITEMS}"
 
 
 def _report(shared):
+    """One pass over the rows: the block's hits join those that earlier blocks left in the row."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = _hits(shared.value, b.column(1))
-            items = [[{"item_id": i, "edits": d, "words": n} for i, (d, n) in sorted(found.get(r, {}).items())] for r in range(len(b))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, kind)], ["id", "items"])
+            items = []
+            for r, before in enumerate(b.column(2).to_pylist()):
+                held = {x["item_id"]: (x["edits"], x["words"]) for x in before}
+                for i, hit in found.get(r, {}).items():
+                    if i not in held or nearer(hit, held[i]):
+                        held[i] = hit
+                items.append([{"item_id": i, "edits": d, "words": n} for i, (d, n) in sorted(held.items(), key=lambda x: (x[0] is None, x[0]))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, kind)], ["id", "text", "items"])
 
     return run
 
 
 def find(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, items): one row for each document and block, with the items that it holds."""
+    """(id, items): one row for each document, with the items that it holds; each block is one more pass over the rows."""
     sc = docs.sparkSession.sparkContext
     short_batches(docs.sparkSession)
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
-    out = None
+    none = F.array().cast(ITEMS).alias("items")
+    rows = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"), none)
     for block in blocks(bench, item_key, item_text):
-        part = rows.mapInArrow(_report(sc.broadcast(Index(block))), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = rows.mapInArrow(_report(sc.broadcast(Index(block))), SCHEMA)
+    return rows.select("id", "items")
 
 
 def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:

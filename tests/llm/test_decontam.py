@@ -80,6 +80,18 @@ def test_blocks_of_the_benchmark_change_nothing(spark, case, monkeypatch):
     assert decontam.keep(docs, bench).count() == sum(not v for v in whole.values())
 
 
+def test_report_gives_one_row_a_document_over_many_blocks(spark, case, monkeypatch):
+    items, texts, _, _ = case
+    docs = spark.createDataFrame([*enumerate(texts[:40]), (40, items[0][1] + " . " + items[99][1]), (41, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (None, items[3][1])], "item_id long, text string")
+    whole = sorted(decontam.report(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 40)
+    parts = sorted(decontam.report(docs, bench).collect())
+    assert len(parts) == 42 and parts == whole
+    assert parts[40].contaminated and parts[40].n_items == 2 and parts[40].item_ids == [0, 99] and not parts[41].contaminated
+    assert None in parts[3].item_ids
+
+
 def test_odd_rows_and_empty_tables(spark, odd, empty):
     text = odd.filter("doc_id = 9").first().text
     bench = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "too short"), (None, "")], "item_id long, text string")

@@ -9,11 +9,12 @@ becomes Hamming distance of what the walks write. Each repetition draws a walk a
 under what they write there. Windows of an item's length begin at every word of every text, and one is a candidate if it
 writes the same at all of them; it leaves the walk at the first sampled step where no item agrees. Windows with too few
 words of any item of that length to be near one are never walked, which loses nothing. Items longer than SEGMENT words are
-searched as segments of about that length: a text near the whole is near one of them at least.
+searched as segments of about that length: a text near the whole is near one of them at least. A segment only proposes a
+place; the whole item is compared there. Items of fewer than MIN_WORDS words are searched exactly, under all ways to edit them.
 
 Benchmarks are searched in blocks of bounded size (BLOCK_ITEMS, BLOCK_BYTES), each sent to the executors once, so the
-benchmark may have any size. Documents are never shuffled. Items of fewer than MIN_WORDS words say nothing about leaks and are left
-out. Null texts and empty tables have no leaks; a null item is no item; repeated rows get the same answer each.
+benchmark may have any size. Documents are never shuffled. Null texts and empty tables have no leaks; a null item or one without
+words is no item; repeated rows get the same answer each.
 """
 
 from __future__ import annotations
@@ -133,20 +134,100 @@ def _walk_on(h, x, repeat, a, b, kept):
     return x
 
 
+def ways(item: tuple, edits: int) -> dict[tuple, int]:
+    """Every sequence that so many edits make of the item, with its fewest edits; None stands for any word."""
+    found = {item: 0}
+    front = [item]
+    for n in range(1, edits + 1):
+        made = []
+        for x in front:
+            for k in range(len(x)):
+                made += [x[:k] + x[k + 1 :], x[:k] + (None,) + x[k + 1 :]]
+            made += [x[:k] + (None,) + x[k:] for k in range(1, len(x))]
+        front = []
+        for x in made:
+            # Any word at an end costs as much as none there, and asks more of the text.
+            while x and x[0] is None:
+                x = x[1:]
+            while x and x[-1] is None:
+                x = x[:-1]
+            if x and x not in found:
+                found[x] = n
+                front.append(x)
+    return found
+
+
+class Short:
+    """Items of a few words, found exactly: whatever their edits make of them is looked up at every word of a text."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], similarity: float):
+        shapes: dict[tuple, list] = {}
+        for i, h in items:
+            for x, d in ways(tuple(h.tolist()), edits_allowed(len(h), similarity)).items():
+                shapes.setdefault(tuple(w is not None for w in x), []).append(([w or 0 for w in x], d, i, len(h)))
+        self.shapes = []
+        for shape, rows in shapes.items():
+            made = np.array([r[0] for r in rows], np.uint64)
+            key, tables = np.zeros(len(rows), np.uint64), []
+            for j, fixed in enumerate(shape):
+                if fixed:
+                    key = vec.mix(key * np.uint64(3) + made[:, j])
+                    tables.append(np.unique(key))
+            order = np.argsort(key, kind="stable")
+            self.shapes.append((shape, tables, key[order], [rows[k][1:] for k in order.tolist()]))
+
+    def search(self, h: np.ndarray, row_of: np.ndarray, found: dict) -> None:
+        every = np.flatnonzero(h != _PAD)
+        for shape, tables, keys, hits in self.shapes:
+            p, key, t = every, np.zeros(len(every), np.uint64), 0
+            for j, fixed in enumerate(shape):
+                w = h[np.minimum(p + j, len(h) - 1)]  # the last is a pad
+                if fixed:
+                    key = vec.mix(key * np.uint64(3) + w)
+                    k = np.searchsorted(tables[t], key)
+                    k[k == len(tables[t])] = 0
+                    on = (tables[t][k] == key) & (w != _PAD)
+                    t += 1
+                else:
+                    on = w != _PAD
+                p, key = p[on], key[on]
+                if not len(p):
+                    break
+            if not len(p):
+                continue
+            at = np.unique(np.stack([row_of[p], np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")]), axis=1)
+            for r, a, b in at.T.tolist():
+                for d, i, n in hits[a:b]:
+                    _hold(found, r, i, (d, n))
+
+
+def _hold(found: dict, r: int, i: int | None, hit: tuple[int, int]) -> None:
+    held = found.setdefault(r, {})
+    if i not in held or nearer(hit, held[i]):
+        held[i] = hit
+
+
 class Index:
     """Items by classes of length, ready to search texts."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL):
         self.similarity = similarity
-        self.ids, self.items = [], []
+        self.ids, self.items, self.wholes = [], [], []
+        short = []
         for i, text in sorted(items, key=lambda x: (x[0] is None, x[0])):
             h = words(text or "")
             if len(h) < MIN_WORDS:
+                if len(h):
+                    short.append((i, h))
                 continue
             parts = max(1, round(len(h) / SEGMENT)) if len(h) > SEGMENT * 1.3 else 1
+            at, first = 0, len(self.items)
             for p in np.array_split(h, parts):
                 self.ids.append(i)
                 self.items.append(p)
+                self.wholes.append((first, at, h) if parts > 1 else None)
+                at += len(p)
+        self.short = Short(short, similarity)
         self.vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]))
         self.classes = []
         lengths = np.array([len(x) for x in self.items])
@@ -164,9 +245,9 @@ class Index:
             lo = hi + 1
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, tuple[int, int]]]:
-        """row -> item id -> (edits, words of the item or of its segment), for every item that the row's text holds."""
+        """row -> item id -> (edits, words of the item), for every item that the row's text holds."""
         w, row = vec.words(data, offsets, _PUNCTUATION)
-        if not len(w) or not self.classes:
+        if not len(w) or not (self.classes or self.short.shapes):
             return {}
         n_rows = len(offsets) - 1
         h = np.full(len(w) + n_rows, _PAD)
@@ -176,11 +257,15 @@ class Index:
         row_of[at] = row
         ends = np.searchsorted(row, np.arange(n_rows), "right") + np.arange(n_rows)  # the pad of each row
         starts = np.concatenate([[0], ends[:-1] + 1])
+        found: dict[int, dict[int, tuple[int, int]]] = {}
+        self.short.search(h, row_of, found)
+        if not self.classes:
+            return found
         vid = np.searchsorted(self.vocab, h)
         vid[vid == len(self.vocab)] = 0
         vid[self.vocab[vid] != h] = len(self.vocab)
-        found: dict[int, dict[int, tuple[int, int]]] = {}
         tried: set[tuple[int, int]] = set()
+        settled: set[tuple[int, int, int]] = set()
         bits: dict = {}
         for _lo, hi, need, member, walks in self.classes:
             known = np.concatenate([[0], np.cumsum(member[vid])])
@@ -214,10 +299,19 @@ class Index:
                         tried.add((i, q // (spare + 1)))
                         text = h[max(starts[r], q - 2 * spare - 1) : min(ends[r], q + len(item) + 2 * spare + 1)]
                         d = nearest(item, text)
+                        if d > spare:
+                            continue
+                        if self.wholes[i]:
+                            first, offset, item = self.wholes[i]
+                            more = edits_allowed(len(item), self.similarity)
+                            start = q - offset
+                            if (r, first, start // (more + 1)) in settled:
+                                continue
+                            settled.add((r, first, start // (more + 1)))
+                            slack = 2 * (more + spare) + 1
+                            d, spare = nearest(item, h[max(starts[r], start - slack) : min(ends[r], start + len(item) + slack)]), more
                         if d <= spare:
-                            old = found.setdefault(r, {}).get(self.ids[i])
-                            if old is None or nearer((d, len(item)), old):
-                                found[r][self.ids[i]] = (d, len(item))
+                            _hold(found, r, self.ids[i], (d, len(item)))
         return found
 
 

@@ -109,3 +109,28 @@ def test_punctuation_and_case_do_not_hide_a_leak():
     item = "The quick brown fox jumps over the lazy dog near the river bank today"
     text = "junk " + " ".join(w.upper() + "%%%" for w in item.split()) + " junk"
     assert decontam._hits(decontam.Index([(5, item)]), pa.array([text, "nothing here", None])).keys() == {0}
+
+
+def test_short_items_are_found_exactly():
+    r = random.Random(5)
+    vocab = [f"v{k}" for k in range(12)]
+    items = [(k, " ".join(r.choices(vocab, k=r.randrange(1, 8)))) for k in range(60)]
+    texts = [" ".join(r.choices(vocab, k=r.randrange(0, 30))) for _ in range(120)]
+    found = decontam._hits(decontam.Index(items), pa.array(texts))
+    for n, text in enumerate(texts):
+        edits = {k: (brute(t.split(), text.split()), len(t.split())) for k, t in items}
+        assert found.get(n, {}) == {k: (d, m) for k, (d, m) in edits.items() if d <= decontam.edits_allowed(m)}
+
+
+def test_long_items_are_held_as_a_whole():
+    r = random.Random(6)
+    vocab = [f"w{k}" for k in range(500)]
+    long = r.choices(vocab, k=600)
+    pad = r.choices(vocab, k=50)
+    passage = " ".join(pad + long[200:320] + pad)
+    leaked = [" ".join(pad + edited(r, long, 0.15, vocab) + pad) for _ in range(5)]
+    found = decontam._hits(decontam.Index([(1, " ".join(long))]), pa.array([passage, *leaked, " ".join(long[60:540])]))
+    assert found.keys() == {1, 2, 3, 4, 5, 6}
+    for n, text in enumerate(leaked, 1):
+        assert found[n] == {1: (brute(long, text.split()), 600)}
+    assert found[6] == {1: (120, 600)}

@@ -256,6 +256,7 @@ class Index:
         row_of = np.zeros(len(h), np.int64)
         row_of[at] = row
         ends = np.searchsorted(row, np.arange(n_rows), "right") + np.arange(n_rows)  # the pad of each row
+        row_of[ends] = np.arange(n_rows)
         starts = np.concatenate([[0], ends[:-1] + 1])
         found: dict[int, dict[int, tuple[int, int]]] = {}
         self.short.search(h, row_of, found)
@@ -264,12 +265,12 @@ class Index:
         vid = np.searchsorted(self.vocab, h)
         vid[vid == len(self.vocab)] = 0
         vid[self.vocab[vid] != h] = len(self.vocab)
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         settled: set[tuple[int, int, int]] = set()
         bits: dict = {}
         for _lo, hi, need, member, walks in self.classes:
             known = np.concatenate([[0], np.cumsum(member[vid])])
-            here = np.flatnonzero(known[np.minimum(np.arange(len(h)) + hi, len(h))] - known[:-1] >= need)
+            here = np.flatnonzero(known[np.minimum(np.arange(len(h)) + hi, ends[row_of])] - known[:-1] >= need)
             here = here[h[here] != _PAD]
             if not len(here):
                 continue
@@ -294,9 +295,9 @@ class Index:
                         item = self.items[i]
                         spare = edits_allowed(len(item), self.similarity)
                         # One look settles all starts nearby: the stretch reaches as far again as the edits allow.
-                        if (i, q // (spare + 1)) in tried:
+                        if (r, i, q // (spare + 1)) in tried:
                             continue
-                        tried.add((i, q // (spare + 1)))
+                        tried.add((r, i, q // (spare + 1)))
                         text = h[max(starts[r], q - 2 * spare - 1) : min(ends[r], q + len(item) + 2 * spare + 1)]
                         d = nearest(item, text)
                         if d > spare:

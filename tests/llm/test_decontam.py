@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,13 @@ def test_long_items_are_held_as_a_whole():
     for n, text in enumerate(leaked, 1):
         assert found[n] == {1: (brute(long, text.split()), 600)}
     assert found[6] == {1: (120, 600)}
+
+
+def test_a_chance_candidate_hides_nothing_in_the_next_row():
+    item = [f"k{n}" for n in range(10)]
+    index = decontam.Index([(1, " ".join(item))])
+    everywhere = SimpleNamespace(repeat=0, steps=[], tables=[], keys=np.zeros(1, np.uint64), items=np.array([0]))
+    index.classes = [(*index.classes[0][:4], [everywhere])]
+    # The last word of the first row and the first of the second fall into one bucket.
+    found = decontam._hits(index, pa.array(["a b c k0", " ".join(item[:8] + ["x", "y"])]))
+    assert found == {1: {1: (2, 10)}}

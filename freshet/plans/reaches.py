@@ -44,8 +44,8 @@ def axis_stations(spark, d):
 
 
 def _reaches(spark, d):
-    """Every fifth row of the grid is a reach."""
-    return V.cells(spark, d).filter("r % 5 = 2").select(F.col("r").alias("reach"), F.col("c").alias("k"), "r", "c")
+    """Every row of the grid is a reach."""
+    return V.cells(spark, d).select(F.col("r").alias("reach"), F.col("c").alias("k"), "r", "c")
 
 
 @query()
@@ -58,7 +58,7 @@ def conditioned_reaches(spark, d):
 
 @query(V.sql("SELECT reach, k, arg_min(r, (z, o))::INT AS r, c, min(z)::INT AS z FROM (SELECT a.r AS reach, a.c AS k, b.r, b.c, b.z, a.r - b.r AS o FROM cells a JOIN cells b ON a.c = b.c AND abs(a.r - b.r) <= 1 WHERE a.r % 5 = 2) GROUP BY reach, k, c".replace("a.r - b.r AS o", "a.r - b.r AS o"), "cells"))
 def snapped_reaches(spark, d):
-    return lines.snap_across(_reaches(spark, d), V.cells(spark, d), 1).select("reach", "k", "r", "c", "z")
+    return lines.snap_across(_reaches(spark, d).filter("reach % 5 = 2"), V.cells(spark, d), 1).select("reach", "k", "r", "c", "z")
 
 
 _AREA = "m AS (SELECT r, c, (r * 50 + c)::BIGINT AS id FROM cells WHERE z <= 22)"

@@ -23,3 +23,8 @@ def test_every_node_is_an_origin(spark, monkeypatch):
     best = {1: 60, 2: 60, 3: 60, 51: 60 + minutes[51, 3], 52: 60 + minutes[52, 51] + minutes[51, 3]}
     got = registry.QUERIES["earliest_arrival"](spark, "").collect()
     assert {r.origin: r.arrival for r in got} == best
+
+
+def test_every_row_of_the_grid_is_a_reach(spark, data):
+    got = registry.QUERIES["conditioned_reaches"](spark, data).select("reach").collect()
+    assert sorted(r.reach for r in got) == sorted(r.r for r in V.cells(spark, data).select("r").distinct().collect())

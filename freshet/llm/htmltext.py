@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 60
-#: Elements whose content is never text.
-_RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|math|object|canvas|textarea|select)\b[^>]*>", re.I)
+#: Elements whose content is never text: those that hold no markup are searched for, the others left out in the tag walk.
+_RAW = re.compile(r"<(script|style|noscript|iframe|textarea)(?=[\s/>])[^>]*>", re.I)
+_ENDLESS = frozenset(("script", "style"))
+_NEVER = frozenset("template svg object canvas select annotation annotation-xml".split())
+_SELF = re.compile(r"(?:^|[\s\"'])/$")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>")
 _CUT = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 _BLOCK = frozenset(
@@ -43,18 +46,29 @@ _ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
 def _strip_raw(page: str) -> str:
-    """Without comments and without elements whose content is never text."""
-    out, at = [], 0
+    """Without comments and without raw elements; a raw element that is never closed is its tag alone, script and style run on."""
+    out, at, ends = [], 0, {}
+
+    def end_of(name: str, start: int) -> int:
+        """Where the element's content begins that is text again; each name's next closing tag is looked for once."""
+        if name not in ends or 0 <= ends[name][0] < start:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, start)
+            ends[name] = (close.start(), close.end()) if close else (-1, -1)
+        first, last = ends[name]
+        if name in _ENDLESS:
+            return last if last >= 0 else len(page)
+        if first < 0 or re.compile(rf"<{name}(?=[\s/>])", re.I).search(page, start, first):
+            return start
+        return last
+
     while True:
         c = page.find("<!--", at)
         m = _RAW.search(page, at, c if c >= 0 else len(page))
         if m:
             out.append(page[at : m.start()])
             out.append(" ")
-            close = re.compile(rf"</{m[1]}\s*>", re.I).search(page, m.end())
-            if not close:
-                return "".join(out)
-            at = close.end()
+            name = m[1].lower()
+            at = m.end() if name not in _ENDLESS and _SELF.search(m[0][len(name) + 1 : -1]) else end_of(name, m.end())
         elif c >= 0:
             out.append(page[at:c])
             end = page.find("-->", c + 4)
@@ -66,6 +80,22 @@ def _strip_raw(page: str) -> str:
             return "".join(out)
 
 
+def _never_text(tags: list[re.Match]) -> dict[int, int]:
+    """The closing tag of each element that is never text; a self-closed or unclosed one has none."""
+    pairs: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for k, m in enumerate(tags):
+        name = (m[2] or "").lower()
+        if name not in _NEVER:
+            continue
+        if not m[1]:
+            if not _SELF.search(m[3]):
+                waiting.setdefault(name, []).append(k)
+        elif waiting.get(name):
+            pairs[waiting[name].pop()] = k
+    return pairs
+
+
 def _is_out(name: str, attrs: str) -> bool:
     if name in _OUT:
         return True
@@ -95,10 +125,20 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if text:
             found.append((text, bool(skip), article > 0))
 
-    for m in _TAG.finditer(page):
+    tags = list(_TAG.finditer(page))
+    pairs = _never_text(tags)
+    until = -1
+    for k, m in enumerate(tags):
+        if k <= until:
+            continue
         if m.start() > at:
             piece.append(page[at : m.start()])
         at = m.end()
+        if k in pairs:
+            piece.append(" ")
+            until = pairs[k]
+            at = tags[until].end()
+            continue
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])

@@ -37,6 +37,30 @@ def test_main_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>one</p><svg width='9'/><p>two</p></article>", "one two"),
+        ("<svg/><article><p>one</p></article><svg><title>t</title><text>x</text></svg><p>out", "one"),
+        ("<article><p>one</p><svg><g><text>x</text></g></svg><p>two</p></article>", "one two"),
+        ("<object data='a'><article><p>one</p></article>", "one"),
+        ("<select><option></option><article><p>one</p><select><option>x</option></select><p>two</p></article>", "one two"),
+        ("<article><p>one</p><iframe src='a'/><p>two</p><textarea>x</textarea><p>three</p><noscript><p>four</p></article>", "one two three four"),
+        ("<article><textarea><p>one</p><textarea>x</textarea></article>", "one"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> holds</p></article>", "so x=2 holds"),
+        ("<article><p>one</p><object><object>x</object>y</object><p>two</p></article>", "one two"),
+        ("<article><p>one</p></article><style>p{}", "one"),
+    ],
+)
+def test_elements_without_text_take_no_text_with_them(page, want):
+    assert htmltext.main_text(page) == want
+
+
+def test_many_unclosed_elements_stay_linear():
+    page = "".join(f"<{x}>a " for x in ("textarea", "iframe", "svg", "object", "select") for _ in range(20_000))
+    assert htmltext.main_text(page).count("a") == 100_000
+
+
 def test_surge_and_dive():
     assert htmltext.surges([0, 5, 0, 0, 0, 80, 3, 0, 9, 0, 0, 0, 7], 60) == [(5, 9)]
     assert htmltext.surges([], 1) == []

@@ -2,9 +2,9 @@
 
 Markup is stripped into lines, one for each block of the page. A line weighs as many characters as it shows; lines of menus,
 page headers and footers, sidebars, notices, adverts, forms and reader comments, and lines outside a page's article where it
-marks one, weigh nothing. Over these weights a window of WINDOW lines slides; text surges where the window's sum reaches
-the page's threshold and dives where it falls to nothing. What weighs between a surge and its dive is the main text.
-Where an article is marked, the threshold is one character, since short paragraphs belong to it as much as long ones.
+marks one, weigh nothing. Where an article is marked, these marks alone decide: all lines that weigh something are the main
+text. Elsewhere a window of WINDOW lines slides over the lines that weigh something, so that what is left out inside the
+text neither lowers a sum nor ends it; text surges where the window's sum reaches the page's threshold and runs on from there.
 
 Pages are worked on one by one (vectorised transfer, no shuffle); whole pages always, with a cost linear in their length.
 Null or empty html gives an empty text; cut-off tags and references are tolerated; repeated rows give the same text each.
@@ -184,12 +184,11 @@ def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     rows = lines(page or "")
     marked = any(inside and not out for _, out, inside in rows)
-    weights = [0 if out or (marked and not inside) else len(text) for text, out, inside in rows]
-    if not any(weights):
-        return ""
-    threshold = 1 if marked else min(SURGE, max(weights))
-    kept = [rows[i][0] for a, b in surges(weights, threshold) for i in range(a, b) if weights[i]]
-    return " ".join(kept)
+    texts = [text for text, out, inside in rows if not out and (inside or not marked)]
+    if marked or not texts:
+        return " ".join(texts)
+    weights = [len(text) for text in texts]
+    return " ".join(t for a, b in surges(weights, min(SURGE, max(weights))) for t in texts[a:b])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,12 @@ def test_elements_without_text_take_no_text_with_them(page, want):
     assert htmltext.main_text(page) == want
 
 
+def test_left_out_lines_inside_unmarked_text_drop_nothing():
+    ad, long = "<div class='ad'>buy</div>", "word " * 40
+    page = f"<h1>A heading of some letters</h1>{ad * 2}<p>{long}</p><p>{long}</p>{ad * 3}<p>The end</p>"
+    assert htmltext.main_text(page) == f"A heading of some letters {long}{long}The end"
+
+
 def test_many_unclosed_elements_stay_linear():
     page = "".join(f"<{x}>a " for x in ("textarea", "iframe", "svg", "object", "select") for _ in range(20_000))
     assert htmltext.main_text(page).count("a") == 100_000

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,56 @@ def test_left_out_lines_inside_unmarked_text_drop_nothing():
     assert htmltext.main_text(page) == f"A heading of some letters {long}{long}The end"
 
 
+LINKS = "".join(f"<li><a href='/{k}'>Somewhere else {k}</a></li>" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # a marked article: the window takes a run of links out, wherever it stands, and keeps one or two with the text
+        (f"<article><h1>Head</h1><p>One</p><ul>{LINKS}</ul><p>Two</p></article>", "Head One Two"),
+        ("<article><p>One</p><p><a href='/'>a link</a></p><p>Two</p><p><a href='/'>last</a></p></article>", "One a link Two last"),
+        (f"<article><h2><a href='/x'>Head</a></h2><p>One, see <a href='/y'>there</a></p>{LINKS}</article>", "Head One, see there"),
+        # an unmarked page: links weigh nothing, the text surges and dives
+        (f"<ul>{LINKS}</ul><p>{'word ' * 30}</p><p>{'more ' * 30}</p><ul>{LINKS}</ul>", ("word " * 30 + "more " * 30).strip()),
+        # a mark that the densest window speaks against: the teaser isn't the text
+        (f"<article><p>Read on</p></article><div><p>{'word ' * 90}</p><p>{'more ' * 90}</p></div>", "Read on " + ("word " * 90 + "more " * 90).strip()),
+        (f"<article><p>{'word ' * 20}</p></article><div><p>{'other ' * 20}</p></div>", ("word " * 20).strip()),
+        # names: a paragraph may be called what only a box is left out for
+        ("<article><p class='share'>Shares fell.</p><div class='share'><a href='/'>f</a></div><p class='ad'>buy</p></article>", "Shares fell."),
+        # a page of links alone
+        ("<p><a href='/'>" + "only links " * 10 + "</a></p>", ("only links " * 10).strip()),
+    ],
+)
+def test_the_window_decides(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title='a>b'>x</p>", "x"),
+        ("<p title=it's>x</p><p>it's y</p>", "x it's y"),
+        ("<p title='never closed>x</p><p>y</p>", "x y"),
+        ("<article><p>x</p><a", "x"),
+        ("1 <2 and a <", "1 <2 and a <"),
+        ("x<!-- <p>no</p> -->y<!doctype z><?w?>z", "xyz"),
+        ("a<script>var b = '</p>'</script>b", "a b"),
+        ("x<!-- runs on <p>y", "x"),
+    ],
+)
+def test_tags_are_scanned(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<a", "<a ", '<a ="', '<a =">"', "<script ", "<textarea ", "<!-- ", "<", "&", "<div class='x'>", "<noscript>x</noscript>", "<p a='", "<div a=b aaaa", "<b ='>' \"", "</", "<i>"])
+def test_cost_is_linear_in_a_page_of_a_megabyte(part):
+    start = time.process_time()
+    htmltext.main_text("<div " + part * (1_000_000 // len(part)) + ">")
+    htmltext.main_text(part * (1_000_000 // len(part)) + "x")
+    assert time.process_time() - start < 6
+
+
 def test_many_unclosed_elements_stay_linear():
     page = "".join(f"<{x}>a " for x in ("textarea", "iframe", "svg", "object", "select") for _ in range(20_000))
     assert htmltext.main_text(page).count("a") == 100_000
@@ -77,6 +128,8 @@ def test_odd_pages(spark):
     got = htmltext.extract(df)
     assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(r.n_chars for r in got.collect()) == [0, 0, 1]
     assert htmltext.extract(df.limit(0)).count() == 0
+    named = htmltext.extract(df.selectExpr("cast(page_id as string) as page_id", "7 as url", "html", "text"))
+    assert named.dtypes[:2] == [("page_id", "string"), ("url", "int")] and {r.page_id for r in named.collect()} == {"1", None}
 
 
 @pytest.fixture(scope="module")

@@ -65,7 +65,8 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         spread(docs[f"`{key}`"], salt).alias("key"),
     )
     slim = cut(slim)
-    budgets = cut(targets(slim).withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")}))
+    # A row for each source.
+    budgets = cut(targets(slim).withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")}), 1)
     # Repeated rows share a key: they count as one entry of the order, with their sizes together.
     entries = slim.groupBy("source", "key").agg(F.sum("size").alias("entry"))
     placed = running(entries, ["source"], [], "key", hex_digits(slim.count()), "entry", "before")
@@ -74,7 +75,7 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     inside = placed.join(budget, F.col("source").eqNullSafe(F.col("__s"))).filter(F.col("before") * 2 + F.col("entry") <= F.col("rest") * 2)
     last = inside.groupBy("__s").agg(F.max("key").alias("cut_key"))
     budgets = budgets.join(last, budgets["source"].eqNullSafe(last["__s"]), "left").drop("__s")
-    return slim, cut(budgets)
+    return slim, cut(budgets, 1)
 
 
 def _times(key: Column) -> Column:

@@ -38,8 +38,9 @@ BANDS = 54
 ROWS = 6
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-#: Members of a block, when a bucket is compared inside.
+#: Members of a block, when a bucket is compared inside, and bytes of their sketches and sets.
 BLOCK = 2048
+BLOCK_BYTES = 4 << 20
 #: Buckets of so many members or more are compared on full sets inside their blocks, smaller ones on sketches first.
 CROWD = 16
 
@@ -152,16 +153,17 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) that pass the estimate and then the exact test. texts: (id, text)."""
-    named = lambda df: cut(df.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    n = pairs.count()
+    named = lambda df: cut(df.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n, 16)
     sketches = _only(classes.select("id", "n", "regs"), named(pairs))
     one = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"r_{s}"))
     sketched = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    likely = cut(sketched.mapInArrow(_likely(threshold), "a long, b long"))
+    likely = cut(sketched.mapInArrow(_likely(threshold), "a long, b long"), n, 32 * BUCKETS)  # a pair costs far more than its row
     sets = cut(_only(texts, named(likely)).mapInArrow(_sets(k), "id long, set binary"))
     # Rows repeated as a whole would double a pair; links are made distinct below.
     s = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}"))
     full = likely.join(s("a"), "a").join(s("b"), "b").select("a", "b", "s_a", "s_b")
-    links = cut(full.mapInArrow(_confirm(round(100 * threshold)), "a long, b long").distinct())
+    links = cut(full.mapInArrow(_confirm(round(100 * threshold)), "a long, b long").distinct(), n)
     drop_cut(sets)
     drop_cut(likely)
     return links
@@ -175,17 +177,18 @@ def components(links: DataFrame) -> DataFrame:
     written before they are joined back, by broadcast while they are few, else as two shuffled sides, so that a hub with a
     third of all edges is a skewed partition that Spark can split.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    n = links.count()  # neither star adds edges
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), n)
     seen = None
     while True:
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
         large = sym.join(small(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large, 2 * n)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), 2 * n)
         joined = large.join(small(least), "u")
         stars = joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
-        new = cut(stars)
+        new = cut(stars, 2 * n)
         for x in (edges, low, large, least):
             drop_cut(x)
         edges = new
@@ -198,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
 def _open(members: DataFrame, known: DataFrame) -> DataFrame:
     """(key, id, n, comp): the members of buckets that hold more than one component."""
     at = cut(members.join(small(known), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
-    several = cut(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
+    several = cut(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), at.count() // 2, 16)
     return cut(at.join(small(several), "key"))
 
 
@@ -259,18 +262,24 @@ def _compare(threshold: float):
 
 
 def _in_blocks(open_: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, sure): links or likely pairs between components of the open buckets. A bucket of m members is dealt into m / BLOCK
-    blocks by a hash of the id, and each pair of blocks is one group, so no group grows with the bucket."""
-    size = small(cut(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), (F.count("*") >= CROWD).alias("crowded"))))
+    """(a, b, sure): links or likely pairs between components of the open buckets. A bucket of m members is dealt into blocks of
+    about BLOCK members or BLOCK_BYTES, whichever is less, by a hash of the id, and each pair of blocks is one group, so no
+    group grows with the bucket or with its texts (a text beyond BLOCK_BYTES is most of a block of its own)."""
+    m, size = F.count("*"), F.sum(2 * BUCKETS + F.when(F.col("n") > 0, F.col("n") * 8))
+    blocks = F.greatest(F.ceil(m / BLOCK), F.when(m >= CROWD, F.least(F.ceil(size / BLOCK_BYTES), m)).otherwise(1)).cast("int")
+    n = open_.count()
+    size = small(cut(open_.groupBy("key").agg(blocks.alias("blocks"), (m >= CROWD).alias("crowded")), n // 2))
     rows = cut(open_.join(size, "key"))
-    ids = lambda df: cut(df.select("id").distinct())
-    crowd = cut(_only(texts, ids(rows.filter("crowded"))).mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]))
+    ids = lambda df: cut(df.select("id").distinct(), n, 16)
+    crowd = ids(rows.filter("crowded"))
+    width = 8 * (rows.filter("crowded").agg(F.avg("n")).first()[0] or 1)
+    crowd = cut(_only(texts, crowd).mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]), crowd.count(), int(width) + 16)
     rows = rows.join(_only(classes.select("id", "regs"), ids(rows)), "id")
     rows = rows.filter("not crowded").withColumn("set", F.lit(None).cast("binary")).unionByName(rows.filter("crowded").join(crowd, "id"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "comp", "own", "regs", "set")
-    got = cut(rows.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "a long, b long, sure boolean").distinct())
+    got = cut(rows.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "a long, b long, sure boolean").distinct(), n)
     drop_cut(crowd)
     return got
 
@@ -281,7 +290,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text"))
     sketches = cut(texts.mapInArrow(_sketch(shingle), "id long, n long, digest binary, regs binary"))
     some = sketches.filter("n > 0 and id is not null")
-    classes = cut(some.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("digest", "c.*"))
+    classes = cut(some.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("digest", "c.*"), sketches.count(), 2 * BUCKETS + 32)
 
     def sized(a: str, b: str):
         """Sets of these sizes can reach the threshold."""
@@ -292,13 +301,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     bands = cut(classes.filter(F.lit(threshold) * (F.col("n") + 1) <= F.col("n")).select("id", "n", "regs").mapInArrow(_bands, "key long, id long, n long"))
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     # A bucket of two whose sizes can't reach the threshold is no meeting.
-    hubs = cut(hubs.filter((F.col("c") > 2) | (F.col("c") == 2) & sized("lo", "hi")).select("key", "h"))
+    hubs = cut(hubs.filter((F.col("c") > 2) | (F.col("c") == 2) & sized("lo", "hi")).select("key", "h"), bands.count() // 2)
     met = cut(bands.join(small(hubs), "key"))  # rows of buckets with company
     drop_cut(bands)
     star = met.filter(F.col("id") != F.col("h.id")).filter(sized("n", "h.n")).select(F.col("h.id").alias("a"), F.col("id").alias("b"))
-    star = cut(star.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b"))
+    star = cut(star.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b"), met.count() // 2, 16)
     links = confirm(star, classes, texts, shingle, threshold)
-    known = cut(components(links))
+    known = cut(components(links), 2 * links.count())
     open_ = _open(met.select("key", "id", "n"), known)
     if not open_.isEmpty():
         got = _in_blocks(open_, classes, texts, shingle, threshold)
@@ -307,7 +316,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         if not likely.isEmpty():
             more = more.unionByName(confirm(likely, classes, texts, shingle, threshold))
         if not more.isEmpty():
-            known = cut(components(links.unionByName(more)))
+            links = links.unionByName(more)
+            known = cut(components(links), 2 * links.count())
     final = small(known.select(F.col("id").alias("class"), "component"))
     mine = sketches.select("id", "n", "digest").join(classes.select("digest", F.col("id").alias("class")), "digest", "left")
     mine = mine.withColumn("class", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id")))
@@ -322,5 +332,6 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents without those that have a smaller one in their component; columns as they came."""
-    gone = cut(find(docs, key, text, shingle, threshold).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct())
+    gone = find(docs, key, text, shingle, threshold).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
+    gone = cut(gone)
     return docs.join(small(gone), docs[f"`{key}`"] == F.col("__gone"), "left_anti")

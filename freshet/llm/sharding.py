@@ -14,6 +14,8 @@ several fully equal rows gets which slot.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +49,7 @@ def propagate(state: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     there; (3) in the order of a random key, requests enter while their running count fits into the shard's room.
     Room counts what stays at the shard, so no round can push a shard past its quota.
     """
+    most = state.count()
     for r in range(rounds):
         held = state.groupBy("group", "label").agg(F.sum("n").alias("held"))
         best = held.groupBy("group").agg(F.max(F.struct(F.col("held"), (-F.col("label")).alias("neg"))).alias("b")).select("group", (-F.col("b.neg")).alias("to"))
@@ -57,12 +60,13 @@ def propagate(state: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
         if not n:
             break
         placed = running(asking, ["to"], ["group", "start"], "key", hex_digits(n), "n", "ahead")
+        # A row for each shard: small enough to broadcast, whatever the corpus.
         room = load.select(F.col("label").alias("__l"), (F.lit(quota) - F.col("load")).alias("room"))
         enters = F.col("ahead") + F.col("n") <= F.coalesce(F.col("room"), F.lit(quota))
         moved = placed.join(F.broadcast(room), F.col("to") == F.col("__l"), "left").select(
             "group", "start", F.when(enters, F.col("to")).otherwise(F.col("label")).alias("label"), "n"
         )
-        state = cut(asked.filter("label = to").select("group", "start", "label", "n").unionByName(moved))
+        state = cut(asked.filter("label = to").select("group", "start", "label", "n").unionByName(moved), most, 64)
     return state
 
 
@@ -72,17 +76,17 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     total = rows.count()
     quota = total // shards
     # Written first: both sides of the join are then dealt anew, and Spark can split a large group's partition.
-    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1"))
+    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1"), total // 2, 72)
     marked = cut(rows.join(groups, "group", "left"))
     linked = marked.filter("members is not null")
     state = linked.groupBy("group", "start").agg(F.count("*").alias("n")).withColumn("label", F.col("start"))
     # Random starts alone could overfill a shard; what doesn't fit at first is treated like a document without links.
     state = state.withColumn("key", F.md5(F.concat_ws(":", "group", "start")))
     state = running(state, ["label"], ["group", "start"], "key", hex_digits(total), "n", "ahead")
-    state = cut(state.filter(F.col("ahead") + F.col("n") <= quota).select("group", "start", "label", "n"))
+    state = cut(state.filter(F.col("ahead") + F.col("n") <= quota).select("group", "start", "label", "n"), total, 64)
     state = propagate(state, quota, rounds)
     placed = marked.join(state.select("group", "start", "label"), ["group", "start"], "left")
-    placed = cut(placed.select("id", "size", "text_crc32", "key", "label"))
+    placed = cut(placed.select("id", "size", "text_crc32", "key", "label"), total, 64)
     # What is left of every shard, as intervals of the order of all documents without a place: one number a shard.
     load = {r["label"]: r["n"] for r in placed.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     bounds, at = [], 0
@@ -109,7 +113,8 @@ def shard_report(docs: DataFrame, key: str = "doc_id", text: str = "text", shard
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The documents with ``shard`` and ``slot`` beside their own columns (which win where names clash).
+    """The documents with ``shard`` and ``slot`` beside their own columns; where a column of theirs has that name, the new one
+    gets the next free number at its end (shard_2).
 
     Repeated rows (same id and text) share their places in a list and take one each. Texts are shuffled once.
     """
@@ -124,8 +129,9 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     on = (F.col("__key") == F.col("key")) & F.col("__crc").eqNullSafe(F.col("text_crc32")) & (F.col("__size") == F.col("size"))
     copy = F.row_number().over(Window.partitionBy("__key", "__crc", "__size").orderBy("__key"))
     got = rows.join(at, on).withColumn("__at", F.element_at("places", copy))
-    new = [c for c in ("shard", "slot") if c not in docs.columns]
-    return got.select("__row.*", *[F.col(f"__at.{c}").alias(c) for c in new])
+    taken = {c.lower() for c in docs.columns}
+    name = lambda c: next(x for x in itertools.chain([c], (f"{c}_{k}" for k in itertools.count(2))) if x not in taken)
+    return got.select("__row.*", *[F.col(f"__at.{c}").alias(name(c)) for c in ("shard", "slot")])
 
 
 def cut_edges(shards: DataFrame) -> DataFrame:

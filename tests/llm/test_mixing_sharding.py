@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from freshet.llm import mixing, sharding
+from freshet.llm import common, mixing, sharding
 
 
 def filled(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
@@ -102,5 +102,16 @@ def test_shards_of_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     assert sharding.shard_report(empty).count() == 0
     whole = sharding.shard(odd)
-    assert whole.count() == odd.count() and whole.columns == [*odd.columns, "slot"]
+    assert whole.count() == odd.count() and whole.columns == [*odd.columns, "shard_2", "slot"]
     assert sharding.shard(empty).count() == 0
+
+
+def test_running_sums_over_ranges_of_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("key"), (F.col("id") % 7).alias("n"))
+    got = {(r.g, r.key): r.at for r in common.running(df, ["g"], [], "key", 6, "n", "at").collect()}
+    at = collections.Counter()
+    for r in sorted(df.collect(), key=lambda r: r.key):
+        assert got[r.g, r.key] == at[r.g]
+        at[r.g] += r.n

@@ -159,8 +159,8 @@ def running(df: DataFrame, group: list[str], order: list[str], key: str, digits:
     df = df.withColumn("__range", part)
     sums = df.groupBy(*group, "__range").agg(F.sum(amount).alias("__sum"))
     if digits > LEVEL:  # many ranges: their own sums are run over in the same way
-        sums = sums.withColumn("__head", F.col("__range"))
-        sums = running(sums, group, [], "__head", digits - LEVEL, "__sum", "__base").drop("__sum", "__head")
+        sums = running(sums.withColumnRenamed("__range", "__head"), group, [], "__head", digits - LEVEL, "__sum", "__below")
+        sums = sums.drop("__sum").withColumnsRenamed({"__head": "__range", "__below": "__base"})
     else:
         before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import chat, decontam, htmltext, langid, mixing, neardup, pii, quality, sharding, tokens
-from freshet.llm.common import shared_dir
+from freshet.llm.common import shared_root
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -56,7 +56,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark), TOKENIZER)
+    # The cache lies in the shared folder and lasts as long as that does: a second run finds all its counts there.
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{shared_root(spark)}/token-counts", TOKENIZER)
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

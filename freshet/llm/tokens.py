@@ -2,7 +2,8 @@
 
 A text's content digest and the tokenizer's digest (of its vocabulary file and settings) together name a stored count.
 Counting joins the distinct digests of the corpus with the cache, encodes one copy of each miss, appends the new counts
-and joins them back to all rows. Texts are read twice and, while the list of further copies is within its size bound,
+and joins them back to all rows. Digests are written once; texts are read for them and, where any count is missing, once
+more to encode it, and, while the list of further copies is within its size bound,
 never shuffled; beyond the bound they are joined by id, in a shuffle on unique keys, so no hot copy meets in one task.
 
 Null texts count as empty (0 tokens). Repeated rows get one count each. An empty table appends nothing.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import cut, shared_dir
+from freshet.llm.common import cut
 
 #: Rows of (id, digest) that are broadcast at most, about 60 bytes each: 60 MB.
 BROADCAST_COPIES = 1_000_000
@@ -118,22 +119,27 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)
 
 
-def fill(docs: DataFrame, cache: str, name: str, key: str = "doc_id", text: str = "text") -> None:
-    """Encode the texts that the cache lacks, one copy of each, and append their counts."""
+def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A slim row for each document, written once: id, content digest and bytes."""
+    t = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    return cut(docs.select(docs[f"`{key}`"].alias("id"), content_digest(t).alias("content"), F.octet_length(t).cast("long").alias("n_bytes")))
+
+
+def fill(docs: DataFrame, cache: str, name: str, key: str = "doc_id", text: str = "text", slim: DataFrame | None = None) -> None:
+    """Encode the texts that the cache lacks, one copy of each, and append their counts; nothing is written if none is missing."""
     spark = docs.sparkSession
     tok = tokenizer_digest(name)
-    rows = docs.select(docs[f"`{key}`"].alias("id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text")).withColumn("content", content_digest(F.col("text")))
+    slim = _digests(docs, key, text) if slim is None else slim
+    ids = slim.groupBy("content", "id").agg(F.lit(1).alias("one")).select("content", "id")
     known = read_cache(spark, cache).filter(F.col("tokenizer") == tok).select("content").distinct()
-    ids = rows.select("id", "content").groupBy("id", "content").agg(F.lit(1).alias("one")).drop("one")
-    first = ids.groupBy("content").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    found = cut(ids.groupBy("content").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(known.withColumn("known", F.lit(True)), "content", "left"), slim.count(), 96)
+    if found.filter("known is null").isEmpty():
+        return
     # What must not be encoded: known texts, and copies of a text other than its first. Usually few, so they are listed.
-    others = ids.join(first.filter("n > 1"), "content").filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "content")
-    skip = shared_dir(spark)
-    others.unionByName(ids.join(known, "content", "left_semi").select("id", "content")).write.parquet(skip)
-    out = spark.read.schema(others.schema).parquet(skip)
+    out = cut(ids.join(found.filter("n > 1 or known"), "content").filter(F.col("known") | ~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("__i"), F.col("content").alias("__c")))
     n = out.count()
+    rows = docs.select(docs[f"`{key}`"].alias("id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text")).withColumn("content", content_digest(F.col("text")))
     if n:
-        out = out.withColumnsRenamed({"id": "__i", "content": "__c"})
         out = F.broadcast(out) if n <= BROADCAST_COPIES else out
         rows = rows.join(out, (F.col("content") == F.col("__c")) & F.col("id").eqNullSafe(F.col("__i")), "left_anti")
     fresh = rows.select("content", "text").mapInArrow(_encode(name), "content string, n_tokens long")
@@ -144,10 +150,10 @@ def fill(docs: DataFrame, cache: str, name: str, key: str = "doc_id", text: str
 
 def count_tokens(docs: DataFrame, cache: str, name: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """One row for each document: key, n_bytes, n_tokens, over_limit."""
-    fill(docs, cache, name, key, text)
-    t = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    rows = docs.select(docs[f"`{key}`"].alias(key), F.octet_length(t).cast("long").alias("n_bytes"), content_digest(t).alias("__content"))
-    stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer") == tokenizer_digest(name)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    stored = cut(stored)  # so that both sides of the join are dealt anew and a hot text's rows can be split
-    got = rows.join(stored, F.col("__content") == F.col("content"), "left")
-    return got.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    slim = _digests(docs, key, text)
+    fill(docs, cache, name, key, text, slim)
+    stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer") == tokenizer_digest(name))
+    # Only this corpus's counts, written: both sides of the join are then dealt anew and a hot text's rows can be split.
+    stored = stored.join(slim.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    got = slim.join(cut(stored, slim.count(), 80), "content", "left")
+    return got.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import chat, decontam, htmltext, langid, mixing, neardup, pii, quality, sharding, tokens
-from freshet.llm.common import shared_root
+from freshet.llm.common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The setting that names the folder of a lasting cache of token counts.
+TOKEN_CACHE = "freshet.tokenCache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The cache lies in the shared folder and lasts as long as that does: a second run finds all its counts there.
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{shared_root(spark)}/token-counts", TOKENIZER)
+    # A session that names a lasting cache finds its counts there; else every run begins with an empty one.
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), spark.conf.get(TOKEN_CACHE, None) or shared_dir(spark), TOKENIZER)
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

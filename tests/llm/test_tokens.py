@@ -1,6 +1,6 @@
 import pytest
 
-from freshet.llm import tokens
+from freshet.llm import registry, tokens
 from freshet.llm.common import shared_dir
 
 
@@ -34,6 +34,19 @@ def test_documents(spark, docs):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(rows[r.doc_id].encode()), want[r.doc_id], want[r.doc_id] > 512)
 
 
+def test_the_query_hits_a_lasting_cache(spark, data, docs, monkeypatch):
+    spark.conf.set(registry.TOKEN_CACHE, shared_dir(spark))
+    try:
+        first = sorted(map(tuple, registry.op8_token_counts(spark, data).collect()))
+        cache = spark.conf.get(registry.TOKEN_CACHE)
+        files = sorted(tokens.read_cache(spark, cache).inputFiles())
+        monkeypatch.setattr(tokens, "_encode", lambda name: pytest.fail("a stored text is encoded again"))
+        assert sorted(map(tuple, registry.op8_token_counts(spark, data).collect())) == first and len(first) == docs.count()
+        assert sorted(tokens.read_cache(spark, cache).inputFiles()) == files
+    finally:
+        spark.conf.unset(registry.TOKEN_CACHE)
+
+
 def test_only_distinct_misses_are_encoded(spark, odd, empty, monkeypatch):
     cache = shared_dir(spark)
     assert tokens.count_tokens(empty, cache).count() == 0

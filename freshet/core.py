@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where no cluster names one is a local folder taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = base or "file://" + tempfile.mkdtemp(prefix="freshet-")
+    """A new folder's path below spark.checkpoint.dir. Where none is named, a local master (tests) gets one folder a process, removed at
+    its end; on a cluster that is refused, since executors would write to disks of their own."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="freshet-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = "file://" + _local[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -48,3 +61,28 @@ def no_nan(c: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den, missing (never zero) where den is not positive."""
     return F.when(den > 0, num / den)
+
+
+#: Rows that one task may put in order; beyond them they are dealt by ranges.
+ONE_TASK = 200_000
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], one_task: int | None = None) -> DataFrame:
+    """Sums over all rows up to and with each one, in the order (which must leave no ties where that matters).
+
+    A large table is dealt by ranges of the order and written, so that a range stays the same however often a task is rerun;
+    each range is summed by itself and starts from the total of the ranges before it, one number a range.
+    """
+    most = ONE_TASK if one_task is None else one_task
+    n = df.count()
+    if n <= most:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
+    dealt = cut(df.withColumns({f"__{k}": c for k, c in sums.items()}).repartitionByRange(-(-n // most), *order).withColumn("__p", F.spark_partition_id()))
+    totals = dealt.groupBy("__p").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range: n / ONE_TASK of them.
+    totals = totals.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums])
+    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = dealt.join(F.broadcast(totals), "__p").withColumns({k: F.col(f"__b_{k}") + F.sum(f"__{k}").over(inside) for k in sums})
+    return got.select(*df.columns, *sums)

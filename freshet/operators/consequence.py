@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.core import no_nan, ratio
+from freshet.core import no_nan, ratio, running_sums
 from freshet.functions import scoring as S
 
 
@@ -166,12 +166,8 @@ def rank(exposed: DataFrame, isolated: DataFrame, weights: Weights = Weights(),
             "score_lo_bp": F.greatest(F.lit(0), F.col("score_bp") * 85).cast("long"),
         }
     )
-    return got.withColumn("priority_rank", rank_by(got, [F.col("score_bp").desc(), F.col(key).asc()]))
-
-
-def rank_by(df: DataFrame, order: list[Column]) -> Column:
-    """1-based place in the order. Settlements are features, not cells: one ordered pass over them is fine."""
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("int")
+    placed = running_sums(got, [F.col("score_bp").desc(), F.col(key).asc()], {"priority_rank": F.lit(1)})
+    return placed.withColumn("priority_rank", F.col("priority_rank").cast("int"))
 
 
 def totals(exposed: DataFrame, columns: list[str]) -> DataFrame:

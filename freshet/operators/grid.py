@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.core import cut, drop_cut, no_nan
+from freshet.core import cut, drop_cut, no_nan, running_sums
 
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 EIGHT = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -226,16 +226,13 @@ def stage_storage(levels: DataFrame, at: DataFrame, cell_area: float = 1.0) -> D
 
     One aggregation by distinct spill level, then running sums over levels: the wanted levels never meet the cells.
     """
-    from pyspark.sql.window import Window
-
     by = levels.filter("level is not null").groupBy("level").agg(F.count("*").alias("n"), F.sum("z").alias("s"))
     both = by.select("level", "n", "s", F.lit(1).alias("__o"), F.lit(False).alias("__want")).unionByName(
         at.select(F.col("level").cast("double"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("__o"), F.lit(True).alias("__want")).distinct()
     )
     # Strictly below: a wanted level comes before cells of the same spill level.
-    w = Window.orderBy("level", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumns({"n_cells": F.sum("n").over(w).cast("long"), "__s": F.sum("s").over(w)})
-    return run.filter("__want").select("level", "n_cells", ((F.col("n_cells") * F.col("level") - F.col("__s")) * cell_area).alias("volume"))
+    run = running_sums(both, [F.col("level").asc(), F.col("__o").asc()], {"n_cells": F.col("n"), "__s": F.col("s")})
+    return run.filter("__want").select("level", F.col("n_cells").cast("long").alias("n_cells"), ((F.col("n_cells") * F.col("level") - F.col("__s")) * cell_area).alias("volume"))
 
 
 # --- polygons ------------------------------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from freshet.core import running_sums
+
 
 def _order(keys: list[str], t: str):
     return Window.partitionBy(*keys).orderBy(t) if keys else Window.partitionBy(F.lit(0)).orderBy(t)
@@ -23,6 +25,11 @@ def cumulative(series: DataFrame, t: str, q: str, keys: list[str] = (), out: str
     return got.withColumn(out, F.coalesce(F.sum("__a").over(w), F.lit(0))).drop("__a")
 
 
+def running_sum(series: DataFrame, t: str, q: str, out: str) -> DataFrame:
+    """The sum of all values up to each row, over a whole table of any size."""
+    return running_sums(series, [F.col(t).asc()], {out: F.col(q)})
+
+
 def intervals(series: DataFrame, t: str, keys: list[str] = ()) -> DataFrame:
     """Rows with the next row's time and values as next_*; the last has none."""
     w = _order(list(keys), t)

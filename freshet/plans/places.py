@@ -401,7 +401,15 @@ def depth_damage(spark, d):
     return spark.range(-20, 140).select(F.col("id").alias("x"), six(S.damage(F.col("id") / 20.0)).alias("damage"))
 
 
-@query()
+@query(
+    V.sql(
+        _RANK
+        + """SELECT '{"identifier":"exercise","sent":"2024-01-01T00:00:00Z","status":"Exercise","msgType":"Alert","info":[{"category":"Met","event":"Flash flood","urgency":"Unknown","severity":"Unknown","headline":"exercise","area":['
+ || string_agg('{"priority_rank":' || priority_rank || ',"areaDesc":"' || printf('V%03d', id) || '","polygon":"1.0,0.0","pop_at_risk":' || pop_at_risk || CASE WHEN isolation_min IS NULL THEN '' ELSE ',"isolation_min":' || isolation_min::DOUBLE::VARCHAR END || '}', ',' ORDER BY priority_rank) || ']}]}' AS document
+FROM (SELECT * FROM k ORDER BY priority_rank LIMIT 10)""",
+        *_RV,
+    )
+)
 def alert_document(spark, d):
     got = ranked(spark, d).withColumns({"village_name": F.format_string("V%03d", "id"), "ring": F.array(F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))})
     return sinks.alert(got, "exercise", "2024-01-01T00:00:00Z")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from freshet.plans import places, reaches, roads, terrain, times
+from freshet.plans import files, lakes, places, reaches, roads, shown, terrain, times
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (places, terrain, reaches, times, roads):
+for _module in (places, terrain, reaches, times, roads, lakes, files, shown):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

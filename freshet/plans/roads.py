@@ -122,12 +122,16 @@ def leave_by(spark, d):
     return graph.leave_by(last, V.nodes(spark, d).select("id"), 0.0, 700.0)
 
 
-@query()
+_FIRST = """, reach(o, node, t) USING KEY (o, node) AS (SELECT id, id, 60.0::DOUBLE FROM nodes UNION SELECT p.o, w.b, min(p.t + w.tau) FROM reach p JOIN w ON w.a = p.node LEFT JOIN recurring.reach x ON x.o = p.o AND x.node = w.b
+ WHERE p.t + w.tau < w.closes AND (x.t IS NULL OR p.t + w.tau < x.t) AND p.node NOT IN (SELECT id FROM main) GROUP BY p.o, w.b)"""
+
+
+@query(V.sql(f"--,\n{_SAMPLES}, {_CUTS}, {_LAST}{_FIRST} SELECT o AS origin, min(t)::DOUBLE AS arrival, arg_min(node, (t, node)) AS target FROM reach WHERE node IN (SELECT id FROM main) GROUP BY o", *_G, recursive=True))
 def earliest_arrival(spark, d):
     """From every node, leaving at 60 tenths of a minute: first arrival on the mainland."""
     e = _timed(spark, d)
     got = graph.earliest_arrival(e, V.nodes(spark, d).select("id"), graph.mainland(e, _never_wet(spark, d)), 60.0)
-    return got.select("origin", "arrival", F.size("path").cast("long").alias("n_nodes"))
+    return got.select("origin", "arrival", "target")
 
 
 @query(V.sql("--,\nl AS (SELECT u AS a, v AS b, min(length_m)::DOUBLE AS w FROM (SELECT u, v, length_m FROM edges UNION ALL SELECT v, u, length_m FROM edges) GROUP BY 1, 2), best(id, cost) USING KEY (id) AS (SELECT id, 0.0::DOUBLE FROM nodes WHERE id % 100 = 0 UNION SELECT l.b, min(p.cost + l.w) FROM best p JOIN l ON l.a = p.id LEFT JOIN recurring.best o ON o.id = l.b WHERE o.cost IS NULL OR p.cost + l.w < o.cost GROUP BY l.b) SELECT id, cost AS length_m FROM best", "nodes", "edges", recursive=True))

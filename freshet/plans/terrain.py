@@ -126,7 +126,16 @@ def lake_depth(spark, d):
     return grid.spill_levels(cells, _seed(cells)).filter("level < 34").select("r", "c", (F.lit(34.0) - F.col("z")).alias("depth"))
 
 
-@query()
+@query(
+    V.sql(
+        f"""--,
+{_SPILL}, want AS (SELECT x::DOUBLE AS level FROM range(12, 52, 2) AS t(x)), st AS (SELECT w.level, coalesce(sum(w.level - cells.z), 0)::DOUBLE AS volume FROM want w LEFT JOIN (best b JOIN cells USING (r, c)) ON b.level < w.level GROUP BY w.level),
+cv AS (SELECT v, min(level) AS level FROM (SELECT level, max(volume) OVER (ORDER BY level) AS v FROM st) WHERE v > 0 GROUP BY v), iv AS (SELECT v, level, lead(v) OVER (ORDER BY v) AS nv, lead(level) OVER (ORDER BY v) AS nl FROM cv), f AS (SELECT max(v) AS hi, min(v) AS lo, arg_min(level, v) AS first, arg_max(level, v) AS last FROM cv),
+q AS (SELECT x / 8.0::DOUBLE * coalesce((SELECT hi FROM f), 0) AS v FROM range(1, 9) AS t(x))
+SELECT round(q.v, 3) AS volume, round(CASE WHEN q.v < f.lo THEN first WHEN q.v >= f.hi THEN last ELSE (SELECT iv.level + (iv.nl - iv.level) * ((q.v - iv.v) / (iv.nv - iv.v)) FROM iv WHERE q.v >= iv.v AND q.v < iv.nv) END, 6) AS level FROM q, f""",
+        "cells", recursive=True,
+    )
+)
 def lake_levels_equal_volume(spark, d):
     """Levels of equally spaced volumes, by inverse interpolation of the running volume curve."""
     cells = V.cells(spark, d)

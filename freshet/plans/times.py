@@ -74,12 +74,12 @@ def wet_since(spark, d):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id AS k, floor(epoch(ts) / 60)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 5 = 0),
+    """WITH RECURSIVE e AS (SELECT user_id AS k, floor(epoch(ts) / 60)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 c(k, i, t, head) AS (SELECT k, i, t, t FROM e WHERE i = 1 UNION ALL SELECT e.k, e.i, e.t, CASE WHEN e.t - c.head < 2880 THEN c.head ELSE e.t END FROM c JOIN e ON e.k = c.k AND e.i = c.i + 1)
 SELECT k, head::DOUBLE AS head, count(*)::BIGINT AS n FROM c GROUP BY k, head"""
 )
 def event_clusters(spark, d):
-    e = V.table(spark, d, "events").filter("user_id % 5 = 0").select(F.col("user_id").alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).alias("t"))
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).alias("t"))
     return series.clusters(e, "t", 2880.0, ["k"]).select("k", "head", "n")
 
 

@@ -1,14 +1,7 @@
-"""Writers: Parquet frames, GeoJSON, KML, alert documents, short column names, run manifests."""
+"""Writers: Parquet frames, GeoJSON, KML, alert documents, short column names; which runs are valid."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import re
-import tempfile
-from datetime import UTC, datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +30,28 @@ def feature(properties: list[str], geometry: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"})
 
 
+def collection(features: DataFrame, feature_: str = "feature") -> DataFrame:
+    """One row: all features as one document. Features are for display: settlements, links or merged areas, never cells."""
+    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list(feature_)), ","), F.lit("]}")).alias("document"))
+
+
+def write_document(spark, path: str, text: str) -> None:
+    """A small text file at a path of any file system that Spark knows; an existing one is replaced."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def canonical_row(columns: dict[str, Column]) -> Column:
+    """JSON of a row with its fields in the order of their names and missing ones as null; NaN is refused."""
+    checked = []
+    for name in sorted(columns):
+        c = columns[name]
+        checked.append(c.alias(name))
+    return F.to_json(F.struct(*checked), {"ignoreNullFields": "false"})
+
+
 def polygon(ring: Column) -> Column:
     return F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(F.bround(p["x"], 6), F.bround(p["y"], 6)))).alias("coordinates"))
 
@@ -77,96 +92,6 @@ def alert(ranked: DataFrame, title: str, sent: str, most: int = 10, mode: str =
     return first.select(F.to_json(F.struct(F.lit(title).alias("identifier"), F.lit(sent).alias("sent"), F.lit(mode).alias("status"), F.lit("Alert").alias("msgType"), F.array(info).alias("info"))).alias("document"))
 
 
-# --- run manifests: driver-side documents, one small file a run ------------------------------------------------------
-
-MOVES = {"queued": {"running", "cancelled", "failed"}, "running": {"completed", "failed", "cancelled"}}
-_RUN_ID = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$")
-
-
-def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and no NaN."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False)
-
-
-def fingerprint(value, files: tuple[str, ...] = ()) -> str:
-    h = hashlib.sha256(canonical(value).encode())
-    for f in files:
-        h.update(file_digest(f).encode())
-    return h.hexdigest()
-
-
-def file_digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
-def utc_now() -> str:
-    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-
-
-def run_dir(root: str, run_id: str) -> str:
-    if not _RUN_ID.match(run_id) or ".." in run_id:
-        raise ValueError(f"bad run id {run_id!r}")
-    path = os.path.realpath(os.path.join(root, run_id))
-    if os.path.dirname(path) != os.path.realpath(root):
-        raise ValueError("a run lies directly below its root")
-    return path
-
-
-def new_manifest(run_id: str, scenario: str, resolved: dict, request: dict, config: dict, model: dict) -> dict:
-    parts = {"scenario": resolved, "request": request, "config": config, "model": model}
-    hashes = {k: fingerprint(v) for k, v in parts.items()}
-    return {
-        "schema_version": 1, "run_id": run_id, "scenario_key": scenario, "status": "queued", "created_at": utc_now(),
-        **parts, "hashes": hashes, "fingerprint": fingerprint(hashes), "artifacts": {}, "validity": {},
-    }
-
-
-def write_manifest(manifest: dict, root: str) -> str:
-    """Whole or not at all: written beside its place, synced, then renamed."""
-    folder = run_dir(root, manifest["run_id"])
-    os.makedirs(folder, exist_ok=True)
-    fd, name = tempfile.mkstemp(dir=folder)
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(canonical(manifest))
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(name, os.path.join(folder, "manifest.json"))
-    return os.path.join(folder, "manifest.json")
-
-
-def load_manifest(root: str, run_id: str) -> dict:
-    with open(os.path.join(run_dir(root, run_id), "manifest.json"), encoding="utf-8") as f:
-        got = json.load(f)
-    if got.get("schema_version") != 1 or got.get("run_id") != run_id or got.get("fingerprint") != fingerprint(got.get("hashes", {})):
-        raise ValueError("not a manifest of this run")
-    return got
-
-
-def transition(manifest: dict, status: str) -> dict:
-    if status not in MOVES.get(manifest["status"], ()):
-        raise ValueError(f"{manifest['status']} can't become {status}")
-    stamp = {"running": "started_at"}.get(status, "completed_at")
-    return {**manifest, "status": status, stamp: utc_now()}
-
-
-def register_artifact(manifest: dict, root: str, name: str, path: str) -> dict:
-    folder = run_dir(root, manifest["run_id"])
-    full = os.path.realpath(os.path.join(folder, path))
-    if not full.startswith(folder + os.sep):
-        raise ValueError("an artifact lies inside its run")
-    entry = {"path": os.path.relpath(full, folder), "sha256": file_digest(full), "bytes": os.path.getsize(full)}
-    return {**manifest, "artifacts": {**manifest["artifacts"], name: entry}}
-
-
-def resolve_artifact(manifest: dict, root: str, name: str) -> str:
-    entry = manifest["artifacts"][name]
-    full = os.path.join(run_dir(root, manifest["run_id"]), entry["path"])
-    if file_digest(full) != entry["sha256"]:
-        raise ValueError(f"{name} is not what was registered")
-    return full
-
-
 def latest_valid(runs: DataFrame) -> DataFrame:
     """The newest completed and valid run of each scenario; runs: (scenario_key, run_id, status, valid, completed_at)."""
     ok = runs.filter((F.col("status") == "completed") & F.col("valid"))

@@ -46,7 +46,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def edges(spark: SparkSession, d: str) -> DataFrame:
     n = _size(spark, d, "customer", "c_custkey")
     o = F.col("o_orderkey")
-    got = table(spark, d, "orders").filter(o % 7 == 0).select(
+    got = table(spark, d, "orders").select(
         F.col("o_custkey").alias("u"),
         ((o * 31 + 17) % n).alias("v"),
         o.alias("k"),
@@ -112,7 +112,7 @@ CTE = {
     "frames": "SELECT (l_partkey // 50)::INT AS r, (l_partkey % 50)::INT AS c, (l_linenumber * 600)::INT AS t_s, (greatest(0, max(l_quantity) - 45) * 10)::INT AS depth FROM lineitem GROUP BY l_partkey, l_linenumber",
     "population": "SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, coalesce(n, 0)::BIGINT AS pop FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
     "nodes": "SELECT c_custkey AS id, (((c_custkey * 7) % (SELECT max(p_partkey) + 1 FROM part)) // 50)::INT AS r, (((c_custkey * 7) % (SELECT max(p_partkey) + 1 FROM part)) % 50)::INT AS c FROM customer",
-    "edges": "SELECT * FROM (SELECT o_custkey AS u, (o_orderkey * 31 + 17) % (SELECT max(c_custkey) + 1 FROM customer) AS v, o_orderkey AS k, (100 + o_orderkey % 900)::INT AS length_m, o_orderstatus = 'P' AS is_bridge, o_orderpriority AS highway FROM orders WHERE o_orderkey % 7 = 0) WHERE u <> v",
+    "edges": "SELECT * FROM (SELECT o_custkey AS u, (o_orderkey * 31 + 17) % (SELECT max(c_custkey) + 1 FROM customer) AS v, o_orderkey AS k, (100 + o_orderkey % 900)::INT AS length_m, o_orderstatus = 'P' AS is_bridge, o_orderpriority AS highway FROM orders) WHERE u <> v",
     "villages": "SELECT s_suppkey AS id, ((s_suppkey * 3) % (SELECT (max(p_partkey) + 50) // 50 FROM part))::INT AS r0, ((s_suppkey * 7) % 50)::INT AS c0, (100 + (s_suppkey * 37) % 1900)::BIGINT AS pop_total FROM supplier",
     "village_cells": "SELECT id, pop_total, r0 + dr AS r, c0 + dc AS c FROM villages, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS b(dr, dc)",
     "facilities": "SELECT fid, amenity, (cell // 50)::INT AS r, (cell % 50)::INT AS c FROM (SELECT c_custkey AS fid, CASE WHEN c_mktsegment = 'BUILDING' THEN 'hospital' ELSE 'school' END AS amenity, (c_custkey * 13) % (SELECT max(p_partkey) + 1 FROM part) AS cell FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD'))",

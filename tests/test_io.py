@@ -15,24 +15,6 @@ def test_short_names_never_collide():
     assert len(set(got.values())) == 5 and all(len(v) <= 10 for v in got.values())
 
 
-def test_manifest_life(tmp_path):
-    m = sinks.new_manifest("run-1", "s", {"a": 1}, {}, {}, {})
-    sinks.write_manifest(m, str(tmp_path))
-    m = sinks.transition(sinks.load_manifest(str(tmp_path), "run-1"), "running")
-    (tmp_path / "run-1" / "out.json").write_text("{}")
-    m = sinks.transition(sinks.register_artifact(m, str(tmp_path), "out", "out.json"), "completed")
-    assert sinks.resolve_artifact(m, str(tmp_path), "out").endswith("out.json")
-    (tmp_path / "run-1" / "out.json").write_text("{ }")
-    with pytest.raises(ValueError):
-        sinks.resolve_artifact(m, str(tmp_path), "out")
-    with pytest.raises(ValueError):
-        sinks.transition(m, "running")
-    with pytest.raises(ValueError):
-        sinks.run_dir(str(tmp_path), "../x")
-    with pytest.raises(ValueError):
-        sinks.canonical({"x": float("nan")})
-
-
 def test_validity_needs_every_check():
     ok = {"volume_provenance": True, "retention": True, "mass": True}
     assert sinks.run_validity(ok, {"a"}, {"a"}) and not sinks.run_validity(ok, set(), {"a"})

@@ -131,6 +131,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        NOT coalesce(bool_or(bad), false) AND bool_or(final AND role = 'assistant') AS valid,
        min(CASE WHEN bad THEN k END)::INT AS first_bad_turn
 FROM e GROUP BY conv_id""",
+    "op4_near_duplicates": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 2 THEN w[i] || ' ' || w[i + 1] ELSE w[1] END AS x, len(w) >= 2 AS pair FROM d, unnest(range(1, greatest(len(w), 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT n.doc_id, n.n, c.c FROM n JOIN (SELECT doc_id, md5(string_agg(x || CASE WHEN pair THEN '2' ELSE '1' END, chr(10) ORDER BY x, pair)) AS c FROM s GROUP BY doc_id) c USING (doc_id)),
+one AS (SELECT c, min(doc_id) AS doc_id, any_value(n) AS n FROM sets GROUP BY c),
+r AS (SELECT s.*, one.n FROM s JOIN one USING (doc_id)),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM r a JOIN r b ON a.x = b.x AND a.pair = b.pair AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM meet WHERE 100 * k >= 80 * (na + nb - k)), ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+lab(id, m) USING KEY (id) AS (SELECT a, a FROM ways GROUP BY a UNION SELECT w.b, min(l.m) FROM lab l JOIN ways w ON w.a = l.id JOIN recurring.lab o ON o.id = w.b WHERE l.m < o.m GROUP BY w.b)
+SELECT documents.doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(lab.m, one.doc_id, documents.doc_id)::BIGINT AS component_id, documents.doc_id = coalesce(lab.m, one.doc_id, documents.doc_id) AS kept, coalesce(one.doc_id, documents.doc_id)::BIGINT AS class_id
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN one ON one.c = sets.c LEFT JOIN lab ON lab.id = one.doc_id""",
     "op7_mix_sources": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from freshet.llm import decontam
+from tests.llm import brute as plain
 
 
 def brute(item, text):
@@ -145,3 +146,18 @@ def test_a_chance_candidate_hides_nothing_in_the_next_row():
     # The last word of the first row and the first of the second fall into one bucket.
     found = decontam._hits(index, pa.array(["a b c k0", " ".join(item[:8] + ["x", "y"])]))
     assert found == {1: {1: (2, 10)}}
+
+
+def test_the_benchmark_s_leaks_against_all_pairs(spark, data, docs):
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {(d, i) for d, held in plain.leaks(rows, [(r.item_id, r.text) for r in bench.collect()]).items() for i in held}
+    got = {(r.doc_id, i) for r in decontam.report(docs, bench).collect() for i in r.item_ids}
+    assert want and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_blocks_give_the_same_report(spark, data, docs, monkeypatch):
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").limit(12)
+    whole = sorted(map(repr, decontam.report(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
+    assert sorted(map(repr, decontam.report(docs, bench).collect())) == whole and len(whole) == docs.count()

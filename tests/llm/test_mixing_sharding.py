@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from freshet.llm import common, mixing, sharding
+from tests.llm import brute
 
 
 def filled(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
@@ -115,3 +116,16 @@ def test_running_sums_over_ranges_of_ranges(spark):
     for r in sorted(df.collect(), key=lambda r: r.key):
         assert got[r.g, r.key] == at[r.g]
         at[r.g] += r.n
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards_against_brute_force(docs, shards):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute.shards(rows, shards, sharding.ROUNDS)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_report(docs, shards=shards).collect()) == sorted(want)
+
+
+def test_large_groups_against_brute_force(spark):
+    rows = [(k, f"group {k % 3}" if k % 4 else f"t{k}") for k in range(600)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string"), shards=9).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted(brute.shards(rows, 9, sharding.ROUNDS))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from freshet.llm import htmltext, langid
+from tests.llm import brute
 
 
 def test_pages_give_their_articles(spark, data):
@@ -158,3 +159,19 @@ def test_evidence_is_fused(spark, model):
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
     with pytest.raises(ValueError):
         langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+
+
+def test_fused_evidence_against_brute_force(spark, data, model):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    langs, logp = model
+    rows = []
+    for r in pages.collect():
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", r.url or "")
+        host = found[1].lower() if found else ""
+        declared = langid._LANG.search(r.html or "")
+        rows.append((r.page_id, host, host.rsplit(".", 1)[-1], declared[1].lower()[:2] if declared else None, langid.posterior(logp, htmltext.main_text(r.html)).tolist()))
+    want = brute.language(rows, langs, langid.PRIOR_PAGES, langid.MILLION)
+    got = langid.identify(pages, model).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and abs(r.confidence - want[r.page_id][1]) < 2e-6

@@ -235,6 +235,27 @@ def stage_storage(levels: DataFrame, at: DataFrame, cell_area: float = 1.0) -> D
     return run.filter("__want").select("level", F.col("n_cells").cast("long").alias("n_cells"), ((F.col("n_cells") * F.col("level") - F.col("__s")) * cell_area).alias("volume"))
 
 
+def lowest(cells: DataFrame, n: int) -> DataFrame:
+    """(r, c, z) of the lowest cell of every block of n by n (ties: first in row order)."""
+    got = blocks(cells, n, F.min(F.struct("z", F.col("r").alias("rr"), F.col("c").alias("cc"))).alias("m"))
+    return got.select(F.col("m.rr").alias("r"), F.col("m.cc").alias("c"), F.col("m.z").alias("z"))
+
+
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of two masks at once, each named once."""
+    return a.select("r", "c").intersect(b.select("r", "c"))
+
+
+def only(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of the first mask that the second lacks, each named once."""
+    return a.select("r", "c").distinct().join(b.select("r", "c").distinct(), ["r", "c"], "left_anti")
+
+
+def first_seen(points: DataFrame, order: str, *cell: str) -> DataFrame:
+    """The distinct cells under points, each with its first place in the order."""
+    return points.groupBy(*cell).agg(F.min(order).alias(order))
+
+
 # --- polygons ------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.core import small
+from freshet.core import running_sums, small
 from freshet.operators import grid, lines
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -90,6 +90,33 @@ def start_level(routed: Column, by_volume: Column) -> Column:
     return F.struct(F.coalesce(routed, by_volume).alias("level"), source.alias("source"))
 
 
+def hypsometry(cells: DataFrame) -> DataFrame:
+    """(z, n, area, volume) of every height: cells at it, cells up to it, and the water above them at that level."""
+    by = cells.groupBy("z").agg(F.count("*").alias("n"))
+    run = running_sums(by, [F.col("z").asc()], {"area": F.col("n"), "__s": F.col("n") * F.col("z")})
+    return run.select("z", "n", "area", (F.col("area") * F.col("z") - F.col("__s")).alias("volume"))
+
+
+def exclusions(cells: DataFrame, level: float) -> DataFrame:
+    """One row: how many cells a pool leaves out, and why (above its level, below it but not joined, no ground)."""
+    low = F.col("z") < level
+    out = F.coalesce(F.col("level") >= level, F.lit(True))
+    return cells.agg(
+        F.count_if(low & ~out).alias("n_pool"), F.count_if(low & out).alias("n_apart"), F.count_if(F.col("z") >= level).alias("n_above"), F.count_if(F.col("z").isNull()).alias("n_no_ground")
+    )
+
+
+def fill_frames(levels: DataFrame, at: DataFrame, t: str = "t") -> DataFrame:
+    """(t, level, r, c, depth): the pool at the level of every frame.
+
+    at: (t, level), a few dozen frames; they travel as one array, so a cell is only sent for the frames in which it is wet.
+    """
+    frames = at.agg(F.collect_list(F.struct(F.col("level").alias("level"), F.col(t).alias(t))).alias("__f"))
+    wet = levels.filter("level is not null").crossJoin(F.broadcast(frames))
+    one = wet.select("r", "c", "z", F.explode(F.filter("__f", lambda f: f["level"] > F.col("level"))).alias("f"))
+    return one.select(F.col(f"f.{t}").alias(t), F.col("f.level").alias("level"), "r", "c", (F.col("f.level") - F.col("z")).alias("depth"))
+
+
 # --- structures -------------------------------------------------------------------------------------------------------
 
 

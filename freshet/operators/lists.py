@@ -179,6 +179,33 @@ def candidate_water(scenes: DataFrame, start: str, end: str, band: str, limit: f
     return seen.groupBy("r", "c").agg(F.min("db").alias("low")).filter(F.col("low") < limit)
 
 
+def front_field(arrival: DataFrame, step: int = 1) -> DataFrame:
+    """(r, c, ux, uy): the direction in which a front moves, as a unit vector, from the slope of its arrival times.
+
+    arrival: (r, c, arrival); cells without two neighbours on an axis that were reached have no slope there.
+    """
+    from freshet.operators import grid
+
+    g = grid.gradient(arrival.filter(F.col("arrival").isNotNull()), "arrival")
+    size = F.hypot("d_dc", "d_dr")
+    got = g.filter((F.col("r") % step == 0) & (F.col("c") % step == 0) & (size > 0))
+    return got.select("r", "c", (F.col("d_dc") / size).alias("ux"), (F.col("d_dr") / size).alias("uy"))
+
+
+def water_surface(anchors_: DataFrame, cells: DataFrame, lateral: float) -> DataFrame:
+    """(r, c, depth): where a water surface drawn between anchors along a river lies above the ground.
+
+    anchors_: (s, level) by chainage; cells: (r, c, z, s, offset) with their place along the river. Beyond the outermost
+    anchors, or farther from the river than ``lateral``, nothing is known.
+    """
+    from freshet.operators import series
+
+    ends = anchors_.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    near = cells.filter(F.col("offset") <= lateral).crossJoin(F.broadcast(ends)).filter(F.col("s").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    surface = series.at_times(near.select("s").distinct(), anchors_.select("s", F.col("level").cast("double").alias("level")), "s", "level", 50.0)
+    return near.join(surface, "s").filter(F.col("level") > F.col("z")).select("r", "c", (F.col("level") - F.col("z")).alias("depth"))
+
+
 def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     """(easting, northing) in a UTM zone, by the sixth-order series of the transverse Mercator projection (WGS 84)."""
     import math

@@ -79,6 +79,30 @@ def paired_errors(pairs: DataFrame, a: str, b: str, keys: list[str] = ()) -> Dat
     return pairs.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.count(e).cast("long").alias("n"))
 
 
+def bands(cells: DataFrame, band: Column, wet: Column) -> DataFrame:
+    """(band, n_cells, n_wet) of each band, and of all of them together as 'all'; shares follow by division."""
+    got = cells.select(band.alias("band"), wet.alias("wet")).rollup("band").agg(F.grouping("band").alias("g"), F.count("*").alias("n_cells"), F.count_if("wet").alias("n_wet"))
+    return got.select(F.when(F.col("g") == 1, "all").otherwise(F.col("band").cast("string")).alias("band"), "n_cells", "n_wet")
+
+
+def ledger(frames: DataFrame, first: int, last: int, t: str = "t_s", depth: str = "depth") -> DataFrame:
+    """One row: what stood in the first and in the last frame, and the difference that in- and outflow have to explain."""
+    at = lambda x: F.sum(F.when(F.col(t) == x, F.col(depth)).otherwise(0)).cast("long")
+    return frames.agg(at(last).alias("stored"), at(first).alias("first_stored")).withColumn("residual", F.col("stored") - F.col("first_stored"))
+
+
+def summary(frames: DataFrame, wet: float, t: str = "t_s", depth: str = "depth") -> DataFrame:
+    """Per frame: cells wet and cells beyond that depth, the deepest and the sum."""
+    d = F.col(depth)
+    return frames.groupBy(t).agg(F.count_if(d >= wet).alias("n_wet"), F.count_if(d > wet).alias("n_over"), F.max(d).alias("deepest"), F.sum(d).cast("long").alias("volume"))
+
+
+def missing_roles(found: DataFrame, required: tuple[str, ...], key: str, role: str = "role") -> DataFrame:
+    """(key, missing): the required roles that a key's features lack, in order."""
+    want = F.array(*[F.lit(r) for r in sorted(required)])
+    return found.groupBy(key).agg(F.array_except(want, F.collect_set(role)).alias("missing"))
+
+
 # --- gates: a comparison with NaN or missing always fails ------------------------------------------------------------
 
 

@@ -260,3 +260,14 @@ def draining_lakes(spark, d):
     )
     got = impound.lake_frames(lakes).groupBy("id").agg(F.count("*").alias("n_frames"), F.max("t").alias("last_t"), F.min("level").alias("lowest"), F.max_by("volume", "t").alias("v"))
     return got.select("id", "n_frames", "last_t", F.round("lowest", 4).alias("lowest"), F.round("v", 1).alias("last_volume"))
+
+
+@query(V.sql(f"--,\n{_SPILL}, f AS (SELECT x::DOUBLE AS t, (15 + x * 6)::DOUBLE AS level FROM range(6) AS q(x)) SELECT f.t, f.level, cells.r, cells.c, (f.level - cells.z)::DOUBLE AS depth FROM f JOIN best ON best.level < f.level JOIN cells ON cells.r = best.r AND cells.c = best.c", "cells", recursive=True))
+def fill_frames(spark, d):
+    at = spark.range(6).select(F.col("id").cast("double").alias("t"), (15 + F.col("id") * 6).cast("double").alias("level"))
+    return impound.fill_frames(_levels(spark, d), at)
+
+
+@query(V.sql(f"--,\n{_SPILL} SELECT count(*) FILTER (z < 30 AND level < 30)::BIGINT AS n_pool, count(*) FILTER (z < 30 AND coalesce(level >= 30, true))::BIGINT AS n_apart, count(*) FILTER (z >= 30)::BIGINT AS n_above, 0::BIGINT AS n_no_ground FROM cells LEFT JOIN best USING (r, c)", "cells", recursive=True))
+def pool_exclusions(spark, d):
+    return impound.exclusions(_levels(spark, d), 30.0)

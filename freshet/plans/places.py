@@ -65,7 +65,7 @@ def depth_classes(spark, d):
 
 @query(V.sql("SELECT t_s, count(*) FILTER (depth >= 30)::BIGINT AS n_wet, count(*) FILTER (depth > 30)::BIGINT AS n_over, max(depth)::INT AS deepest, sum(depth)::BIGINT AS volume FROM frames GROUP BY t_s", "frames"))
 def frame_summary(spark, d):
-    return V.frames(spark, d).groupBy("t_s").agg(F.count_if(F.col("depth") >= WET).alias("n_wet"), F.count_if(F.col("depth") > WET).alias("n_over"), F.max("depth").alias("deepest"), F.sum("depth").cast("long").alias("volume"))
+    return validate.summary(V.frames(spark, d), WET)
 
 
 # --- samples and zones --------------------------------------------------------------------------------------------------
@@ -298,14 +298,12 @@ def agreement_areas(spark, d):
 def mask_intersect_except(spark, d):
     a = V.observed(spark, d).filter("wet").select("r", "c")
     b = V.frames(spark, d).filter(F.col("depth") >= WET).select("r", "c")
-    return a.intersect(b).select(F.lit("intersect").alias("op"), "r", "c").unionByName(a.exceptAll(a.join(b, ["r", "c"], "left_semi")).distinct().select(F.lit("except").alias("op"), "r", "c"))
+    return grid.both(a, b).select(F.lit("intersect").alias("op"), "r", "c").unionByName(grid.only(a, b).select(F.lit("except").alias("op"), "r", "c"))
 
 
 @query(V.sql("SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band::VARCHAR END AS band, count(*)::BIGINT AS n_cells, count(*) FILTER (wet)::BIGINT AS n_wet FROM (SELECT z // 10 AS band, o.wet FROM cells JOIN observed o USING (r, c)) GROUP BY ROLLUP (band)", "cells", "observed"))
 def band_rollup(spark, d):
-    got = V.cells(spark, d).join(V.observed(spark, d), ["r", "c"]).withColumn("band", F.floor(F.col("z") / 10).cast("int"))
-    got = got.rollup("band").agg(F.grouping("band").alias("g"), F.count("*").alias("n_cells"), F.count_if("wet").alias("n_wet"))
-    return got.select(F.when(F.col("g") == 1, "all").otherwise(F.col("band").cast("string")).alias("band"), "n_cells", "n_wet")
+    return validate.bands(V.cells(spark, d).join(V.observed(spark, d), ["r", "c"]), F.floor(F.col("z") / 10).cast("int"), F.col("wet"))
 
 
 @query(V.sql("SELECT id, CASE WHEN a IS NULL THEN 'NO_ARRIVAL' WHEN a < lo THEN 'EARLY' WHEN a > hi THEN 'LATE' ELSE 'MATCH' END AS status, CASE WHEN a < lo THEN a - lo WHEN a > hi THEN a - hi WHEN a IS NOT NULL THEN 0 END::BIGINT AS error FROM (SELECT v.id, (v.id * 11) % 50 AS lo, (v.id * 11) % 50 + 20 AS hi, (min(CASE WHEN depth >= 30 THEN t_s END) // 60) AS a FROM village_cells v LEFT JOIN frames f ON v.r = f.r AND v.c = f.c GROUP BY v.id)", "frames", "villages", "village_cells"))
@@ -333,8 +331,7 @@ def gates_g1_g2(spark, d):
 
 @query(V.sql("SELECT sum(CASE WHEN t_s = 4200 THEN depth ELSE 0 END)::BIGINT AS stored, sum(CASE WHEN t_s = 600 THEN depth ELSE 0 END)::BIGINT AS first_stored, (sum(CASE WHEN t_s = 4200 THEN depth ELSE 0 END) - sum(CASE WHEN t_s = 600 THEN depth ELSE 0 END))::BIGINT AS residual FROM frames", "frames"))
 def mass_ledger(spark, d):
-    at = lambda t: F.sum(F.when(F.col("t_s") == t, F.col("depth")).otherwise(0)).cast("long")
-    return V.frames(spark, d).agg(at(4200).alias("stored"), at(600).alias("first_stored")).withColumn("residual", F.col("stored") - F.col("first_stored"))
+    return validate.ledger(V.frames(spark, d), 600, 4200)
 
 
 @query("SELECT p_type AS key, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(avg(a - b), 6) AS bias, round(avg(abs(a - b)), 6) AS mae, count(*)::BIGINT AS n FROM (SELECT p_type, p_size AS a, (p_partkey * 7) % 50 AS b FROM part) GROUP BY p_type")

@@ -163,15 +163,61 @@ def sourced_parameters(spark, d):
     return lists.sourced(spark.createDataFrame([(json.dumps(doc),)], "document string"), ["crest_m", "frl_m"])
 
 
+@query(V.sql("SELECT c.r, c.c, round(s.level - c.z, 6) AS depth FROM cells c, LATERAL (SELECT CASE WHEN c.c <= 20 THEN 10 + (c.c - 4) * 1.25 ELSE 30 + (c.c - 20) * 0.5 END::DOUBLE AS level) s WHERE c.c BETWEEN 4 AND 44 AND c.r % 10 <= 6 AND s.level > c.z", "cells"))
+def observed_surface(spark, d):
+    """Rivers along every tenth row; anchors at columns 4, 20 and 44; the surface reaches six rows to the side."""
+    anchors = spark.createDataFrame([(4.0, 10.0), (20.0, 30.0), (44.0, 42.0)], "s double, level double")
+    cells = V.cells(spark, d).withColumns({"s": F.col("c").cast("double"), "offset": (F.col("r") % 10).cast("double")})
+    return lists.water_surface(anchors, cells, 6.0).select("r", "c", six(F.col("depth")).alias("depth"))
+
+
+@query(
+    V.sql(
+        """--,
+a AS (SELECT r, c, min(CASE WHEN depth >= 10 THEN t_s END) AS t FROM frames GROUP BY r, c), k AS (SELECT * FROM a WHERE t IS NOT NULL),
+g AS (SELECT k.r, k.c, CASE WHEN n.t IS NOT NULL AND s.t IS NOT NULL THEN (s.t - n.t) / 2.0 WHEN s.t IS NOT NULL THEN s.t - k.t WHEN n.t IS NOT NULL THEN k.t - n.t END AS dy, CASE WHEN e.t IS NOT NULL AND w.t IS NOT NULL THEN (e.t - w.t) / 2.0 WHEN e.t IS NOT NULL THEN e.t - k.t WHEN w.t IS NOT NULL THEN k.t - w.t END AS dx
+ FROM k LEFT JOIN k n ON n.r = k.r - 1 AND n.c = k.c LEFT JOIN k s ON s.r = k.r + 1 AND s.c = k.c LEFT JOIN k e ON e.r = k.r AND e.c = k.c + 1 LEFT JOIN k w ON w.r = k.r AND w.c = k.c - 1)
+SELECT r, c, round(dx / sqrt(dx * dx + dy * dy), 6)::DOUBLE + 0.0 AS ux, round(dy / sqrt(dx * dx + dy * dy), 6)::DOUBLE + 0.0 AS uy FROM g WHERE dx * dx + dy * dy > 0""",
+        "frames",
+    )
+)
+def front_field(spark, d):
+    a = C.first_reach(V.frames(spark, d), ["r", "c"], "depth", 10, out="arrival").withColumn("arrival", F.col("arrival").cast("double"))
+    return lists.front_field(a).select("r", "c", (six(F.col("ux")) + 0.0).alias("ux"), (six(F.col("uy")) + 0.0).alias("uy"))
+
+
+@query("SELECT s_suppkey AS id, [x FOR x IN ['breach_point', 'breach_zone', 'dam_body', 'river'] IF NOT ((x = 'river' AND s_suppkey % 2 = 0) OR (x = 'dam_body' AND s_suppkey % 3 = 0) OR (x = 'breach_zone' AND s_suppkey % 5 = 0) OR x = 'breach_point')] AS missing FROM supplier")
+def missing_roles(spark, d):
+    k = F.col("s_suppkey")
+    roles = F.array_compact(F.array(F.when(k % 2 == 0, "river"), F.when(k % 3 == 0, "dam_body"), F.when(k % 5 == 0, "breach_zone"), F.lit("breach_point")))
+    found = V.table(spark, d, "supplier").select(k.alias("id"), F.explode(roles).alias("role"))
+    return validate.missing_roles(found, ("river", "dam_body", "breach_zone", "breach_point"), "id")
+
+
+@query(V.sql("SELECT r, c, min(id) AS id FROM nodes GROUP BY r, c", "nodes"))
+def distinct_cells(spark, d):
+    from freshet.operators import grid
+
+    return grid.first_seen(V.nodes(spark, d), "id", "r", "c")
+
+
+@query("SELECT n_regionkey::BIGINT AS frame_idx, 'rise' AS stage, (n_regionkey * -10.0)::DOUBLE AS t_min FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT 5 + i, 'routing', (i * 10.0)::DOUBLE FROM range(7) AS t(i)")
+def joined_timeline(spark, d):
+    """Frames before the breach and frames after it, on one timeline with running numbers."""
+    before = V.table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("frame_idx")).distinct().select("frame_idx", F.lit("rise").alias("stage"), (F.col("frame_idx") * -10.0).cast("double").alias("t_min"))
+    after = V.frames(spark, d).select("t_s").distinct().select((5 + F.col("t_s") / 600 - 1).cast("long").alias("frame_idx"), F.lit("routing").alias("stage"), (F.col("t_s") / 60.0 - 10).cast("double").alias("t_min"))
+    return before.unionByName(after)
+
+
 # --- formulas -----------------------------------------------------------------------------------------------------------
 
 
 @query(
-    """SELECT x::BIGINT AS x, round(2.0 / 9 * CASE WHEN q < 1 THEN 1 - 1.5 * q * q + 0.75 * q * q * q WHEN q < 2 THEN 0.25 * pow(2 - q, 3) ELSE 0 END, 9)::DOUBLE AS w, round(2.0 / 27 * CASE WHEN q < 1 THEN -3 * q + 2.25 * q * q WHEN q < 2 THEN -0.75 * pow(2 - q, 2) ELSE 0 END * sign(x), 9)::DOUBLE AS dw FROM (SELECT x, (abs(x / 10.0) / 3)::DOUBLE AS q FROM range(-80, 81) AS t(x))"""
+    """SELECT x::BIGINT AS x, round(2.0 / 9 * CASE WHEN q < 1 THEN 1 - 1.5 * q * q + 0.75 * q * q * q WHEN q < 2 THEN 0.25 * pow(2 - q, 3) ELSE 0 END, 9)::DOUBLE AS w, round(2.0 / 27 * CASE WHEN q < 1 THEN -3 * q + 2.25 * q * q WHEN q < 2 THEN -0.75 * pow(2 - q, 2) ELSE 0 END * sign(x), 9)::DOUBLE + 0.0 AS dw FROM (SELECT x, (abs(x / 10.0) / 3)::DOUBLE AS q FROM range(-80, 81) AS t(x))"""
 )
 def spline_kernels(spark, d):
     x = F.col("id") / 10.0
-    return spark.range(-80, 81).select(F.col("id").alias("x"), F.round(H.spline_kernel(x, 3.0), 9).alias("w"), F.round(H.spline_slope(x, 3.0), 9).alias("dw"))
+    return spark.range(-80, 81).select(F.col("id").alias("x"), F.round(H.spline_kernel(x, 3.0), 9).alias("w"), (F.round(H.spline_slope(x, 3.0), 9) + 0.0).alias("dw"))
 
 
 @query(
@@ -351,6 +397,18 @@ def grid_convergence(spark, d):
     return numerics.convergence(spark, (40.0, 20.0, 10.0))
 
 
+@query()
+def solver_600s_full(spark, d):
+    """600 s of a flood over 17,835 cells of 171 m, every step over the whole domain."""
+    return numerics.timed_flood(spark, False)
+
+
+@query()
+def solver_600s_windowed(spark, d):
+    """The same, every step over the box around the water only."""
+    return numerics.timed_flood(spark, True)
+
+
 @query()
 def scenario_run(spark, d):
     """From a scenario's geometry to ranked settlements, in one run with its checks."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.operators import grid, series
+from freshet.operators import grid, impound, series
 from freshet.plans.base import registry
 from freshet.sources import readers
 from freshet.sources import views as V
@@ -159,8 +159,7 @@ def consecutive_distinct(spark, d):
 
 @query(V.sql("SELECT r, c, z FROM (SELECT *, row_number() OVER (PARTITION BY r // 10, c // 10 ORDER BY z, r, c) AS k FROM cells) WHERE k = 1", "cells"))
 def snap_to_lowest(spark, d):
-    got = grid.blocks(V.cells(spark, d), 10, F.min(F.struct("z", F.col("r").alias("rr"), F.col("c").alias("cc"))).alias("m"))
-    return got.select(F.col("m.rr").alias("r"), F.col("m.cc").alias("c"), F.col("m.z").alias("z"))
+    return grid.lowest(V.cells(spark, d), 10)
 
 
 @query(V.sql("SELECT t.R AS r, t.C AS c, cells.z FROM (SELECT (x // 20)::INT AS R, (x % 20)::INT AS C FROM range(160) AS q(x)) t LEFT JOIN cells ON cells.r = floor((t.R + 0.5) * 4 / 8) AND cells.c = floor((t.C + 0.5) * 50 / 20)", "cells"))
@@ -175,8 +174,4 @@ def synthetic_canyon(spark, d):
 
 @query(V.sql("SELECT z, count(*)::BIGINT AS n, sum(count(*)) OVER (ORDER BY z)::BIGINT AS area, (sum(count(*)) OVER (ORDER BY z) * z - sum(z * count(*)) OVER (ORDER BY z))::BIGINT AS volume FROM cells GROUP BY z", "cells"))
 def hypsometry(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
-    got = V.cells(spark, d).groupBy("z").agg(F.count("*").alias("n"))
-    return got.select("z", "n", F.sum("n").over(w).alias("area"), (F.sum("n").over(w) * F.col("z") - F.sum(F.col("n") * F.col("z")).over(w)).alias("volume"))
+    return impound.hypsometry(V.cells(spark, d))

@@ -280,3 +280,19 @@ def author_geometry(scenario: str, datum: str, crest: tuple[float, str, str], le
             for role, source, kind, shape, at in features
         ]},
     }
+
+
+def register_scenario(folder: str | Path, key: str, definition: dict, geometry: dict, check: Callable[[dict], object]) -> Path:
+    """A new scenario's definition and geometry, written only if the geometry passes ``check`` (which raises if it doesn't) and the
+    key is free. Nothing is filled in: what the definition lacks stays missing."""
+    if not _NAME.match(key):
+        raise ValueError(f"bad scenario key {key!r}")
+    place = Path(folder) / f"{key}.json"
+    if place.exists():
+        raise ValueError(f"{key} is registered already")
+    check(geometry)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    part = place.with_suffix(".part")
+    part.write_text(canonical({"key": key, "definition": safe(definition), "geometry": safe(geometry)}), "utf-8")
+    part.replace(place)
+    return place

@@ -149,3 +149,13 @@ def test_fallback_only_on_request(spark):
     with pytest.raises(OSError):
         readers.with_fallback(broken, lambda: 1)
     assert readers.with_fallback(broken, lambda: 1, allowed=True) == 1
+
+
+def test_a_scenario_is_registered_once_and_only_with_sound_geometry(tmp_path):
+    place = runs.register_scenario(tmp_path / "s", "valley", {"name": "V"}, shown.valley_geometry(), geometry.read)
+    assert json.loads(place.read_text())["definition"] == {"name": "V"}
+    with pytest.raises(ValueError):
+        runs.register_scenario(tmp_path / "s", "valley", {}, shown.valley_geometry(), geometry.read)
+    with pytest.raises(geometry.Refused):
+        runs.register_scenario(tmp_path / "s", "other", {}, shown.valley_geometry(drop=("river",)), geometry.read)
+    assert not (tmp_path / "s" / "other.json").exists()

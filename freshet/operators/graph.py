@@ -168,19 +168,50 @@ def path_bound(steps):
     )
 
 
-def isolation(edge_depth: DataFrame, nodes: DataFrame, node_depth: DataFrame, villages: DataFrame, times: DataFrame) -> DataFrame:
+def over_time(edges: DataFrame, nodes: DataFrame, times: DataFrame, t: str = "t_s", closes: str = "cut_s") -> tuple[DataFrame, DataFrame]:
+    """Components at every time of a graph whose links close: (id, base) and (t, base, component).
+
+    Links that never close are contracted once: their components are the bases. Only links that close, between different
+    bases and each pair's last one alone, are looked at for every time; a base that isn't named at a time stands by itself.
+    """
+    base = cut(with_singles(components(edges.filter(F.col(closes).isNull())), nodes.select("id")).withColumnRenamed("component", "base"))
+    end = lambda x: base.select(F.col("id").alias(x), F.col("base").alias(f"b{x}"))
+    rest = edges.filter(F.col(closes).isNotNull()).select("u", "v", closes).join(end("u"), "u").join(end("v"), "v").filter("bu <> bv")
+    rest = rest.groupBy(F.least("bu", "bv").alias("u"), F.greatest("bu", "bv").alias("v")).agg(F.max(closes).alias(closes))
+    live = rest.crossJoin(F.broadcast(moments(times, t))).select("u", "v", F.explode(F.filter("__ts", lambda x: x < F.col(closes))).alias(t))
+    return base, cut(components(cut(live), [t]).withColumnRenamed("id", "base"))
+
+
+def moments(times: DataFrame, t: str) -> DataFrame:
+    """One row with all times, as many as there are frames, so that each row is sent only for the times that concern it."""
+    return times.agg(F.collect_set(t).alias("__ts"))
+
+
+def sizes_over_time(base: DataFrame, over: DataFrame, times: DataFrame, t: str = "t_s") -> DataFrame:
+    """(t, size) of every component of two nodes or more at every time."""
+    size = base.groupBy("base").agg(F.count("*").alias("size"))
+    joined = over.join(size, "base").groupBy(t, "component").agg(F.sum("size").alias("size")).select(t, "size")
+    alone = size.filter("size > 1").crossJoin(F.broadcast(moments(times, t))).select("base", "size", F.explode("__ts").alias(t))
+    return joined.unionByName(alone.join(over, [t, "base"], "left_anti").select(t, "size"))
+
+
+def isolation(edges: DataFrame, nodes: DataFrame, wet: DataFrame, villages: DataFrame, times: DataFrame, t: str = "t_s", closes: str = "cut_s") -> DataFrame:
     """When each settlement is cut off: the first time at which the component of its road node holds no dry node.
 
-    edge_depth: (t_s, u, v) of the links open at that time; node_depth: (t_s, id) of the nodes dry at that time;
-    villages: (id, node), node missing where no road was found; times: (t_s). All times run as one job, keyed by time.
-    Adds baseline_connected, isolation_s and isolation_status with the usual precedence.
+    edges: (u, v, closes), missing for links that stay open; wet: (t, id) of the nodes under water at each time; villages: (id, node),
+    node missing where no road was found. Adds isolation_s. Dry nodes are counted as all less the wet ones, so nodes
+    never meet times.
     """
-    comps = components(edge_depth, ["t_s"])
-    at = with_singles(comps, times.join(nodes.select("id")), ["t_s"])
-    at = cut(at)
-    safe = at.join(node_depth.select("t_s", "id"), ["t_s", "id"], "left_semi").select("t_s", "component").distinct()
-    here = villages.select(F.col("id").alias("vid"), F.col("node").alias("id")).filter("id is not null").join(at, "id")
-    lost = here.join(safe, ["t_s", "component"], "left_anti").groupBy("vid").agg(F.min("t_s").alias("isolation_s"))
+    base, over = over_time(edges, nodes, times, t, closes)
+    size = base.groupBy("base").agg(F.count("*").alias("size"))
+    drowned = wet.select(t, "id").distinct().join(base, "id").groupBy(t, "base").agg(F.count("*").alias("wet"))
+    dry = F.sum(F.col("size") - F.coalesce("wet", F.lit(0)))
+    together = over.join(size, "base").join(drowned, [t, "base"], "left").groupBy(t, "component").agg(dry.alias("dry_together"))
+    here = villages.select(F.col("id").alias("vid"), F.col("node").alias("id")).filter("id is not null").join(base, "id").join(size, "base")
+    here = here.crossJoin(F.broadcast(moments(times, t))).select("vid", "base", "size", F.explode("__ts").alias(t))
+    here = here.join(over, [t, "base"], "left").join(together, [t, "component"], "left").join(drowned, [t, "base"], "left")
+    none = F.coalesce("dry_together", F.col("size") - F.coalesce("wet", F.lit(0))) <= 0
+    lost = here.filter(none).groupBy("vid").agg(F.min(t).alias("isolation_s"))
     return villages.join(lost, F.col("id") == F.col("vid"), "left").drop("vid")
 
 

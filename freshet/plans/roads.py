@@ -85,10 +85,10 @@ lab(g, id, m) USING KEY (g, id) AS (SELECT g, a, a FROM ways GROUP BY g, a UNION
 
 @query(V.sql(f"--,\n{_SAMPLES}, {_CUTS}, open_ AS (SELECT t.t_s AS g, u, v FROM cuts, (SELECT DISTINCT t_s FROM frames) t WHERE cut_s IS NULL OR cut_s > t.t_s), {_reach('open_')}, k AS (SELECT g, m, count(*) AS size FROM lab GROUP BY g, m) SELECT g AS t_s, count(*)::BIGINT AS n_components, max(size)::BIGINT AS largest FROM k GROUP BY g", *_G, recursive=True))
 def components_per_time(spark, d):
-    times = V.frames(spark, d).select("t_s").distinct()
+    times = cut(V.frames(spark, d).select("t_s").distinct())
     cuts = cut(_cuts(spark, d).select("u", "v", "cut_s"))
-    live = cuts.join(F.broadcast(times), F.col("cut_s").isNull() | (F.col("cut_s") > F.col("t_s"))).select("t_s", "u", "v")
-    sizes = graph.components(live, ["t_s"]).groupBy("t_s", "component").agg(F.count("*").alias("size"))
+    base, over = graph.over_time(cuts, V.nodes(spark, d), times)
+    sizes = graph.sizes_over_time(base, over, times)
     return sizes.groupBy("t_s").agg(F.count("*").alias("n_components"), F.max("size").alias("largest"))
 
 
@@ -164,12 +164,11 @@ def isolation_times(spark, d):
     frames, nodes, edges = V.frames(spark, d), V.nodes(spark, d), V.edges(spark, d)
     times = cut(frames.select("t_s").distinct())
     cuts = cut(_cuts(spark, d).select("u", "v", "k", "cut_s"))
-    live = cuts.join(F.broadcast(times), F.col("cut_s").isNull() | (F.col("cut_s") > F.col("t_s"))).select("t_s", "u", "v")
-    dry = nodes.join(times).join(frames, ["t_s", "r", "c"], "left").filter(F.coalesce("depth", F.lit(0)) < ROAD).select("t_s", "id")
+    wet = nodes.join(frames, ["r", "c"]).filter(F.col("depth") >= ROAD).select("t_s", "id")
     n = V._size(spark, d, "customer", "c_custkey")
     k = F.col("id")
     at = V.villages(spark, d).select("id", F.when(k % 9 != 0, (k * 17) % n).alias("node"))
-    found = graph.isolation(live, nodes, dry, at, times)
+    found = graph.isolation(cuts, nodes, wet, at, times)
     base = graph.with_singles(graph.components(edges), nodes.select("id"))
     got = graph.label_isolation(found, base, graph.degree(edges))
     return got.select("id", "baseline_connected", "isolation_s", "isolation_status")

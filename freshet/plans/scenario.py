@@ -59,12 +59,8 @@ def assess(frames: DataFrame, settlements: DataFrame, nodes: DataFrame, edges: D
     times = frames.select("t_s").distinct()
     ends = edges.select("u", "v", "k", F.explode(F.array("u", "v")).alias("id")).join(nodes, "id").select("u", "v", "k", "r", "c")
     closed = cut(C.edge_closures(edges, ends, frames, 0.3, 3.0))
-    # A column of times: as many as there are frames.
-    moments = times.agg(F.sort_array(F.collect_set("t_s")).alias("ts"))
-    live = closed.crossJoin(F.broadcast(moments)).select("u", "v", F.explode(F.filter("ts", lambda t: F.col("cut_s").isNull() | (F.col("cut_s") > t))).alias("t_s"))
     wet = nodes.join(frames, ["r", "c"]).filter(F.col("depth") >= 0.3).select("t_s", "id")
-    dry = nodes.select("id").crossJoin(F.broadcast(times)).join(wet, ["t_s", "id"], "left_anti")
-    lost = graph.isolation(live, nodes, dry, settlements.select("id", "node"), times)
+    lost = graph.isolation(closed, nodes, wet, settlements.select("id", "node"), times)
     status = graph.label_isolation(lost, graph.components(edges), graph.degree(edges)).withColumn("isolation_min", no_nan(F.col("isolation_s").cast("double")) / 60)
     return C.rank(exposed, status.select("id", "isolation_min", "isolation_status", "n_road_exits"))
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.core import cut, drop_cut, no_nan, running_sums
+from freshet.core import cut, drop_cut, no_nan, running_sums, small
 
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 EIGHT = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -134,28 +134,29 @@ def in_box(points: DataFrame, boxes: DataFrame, x: str, y: str, size: float) ->
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Each point's nearest target (ties: smallest target), by rings of buckets that widen until no nearer one can exist.
+    """Each point's nearest target (ties: smallest target), through the nine buckets around it, which double until all are settled.
 
-    Points whose ring held a target nearer than the ring's reach are settled; only the others look further.
+    A point is settled by a target no farther than its bucket's side, since none nearer can lie beyond the nine; only the
+    others look on, so rounds grow with the logarithm of the largest distance. Points without finite coordinates have none.
     """
-    t = cut(targets.select(F.col(target).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.floor(F.col(x) / size).alias("__bx"), F.floor(F.col(y) / size).alias("__by")))
-    p = cut(points.select(F.col(key).alias("__k"), F.col(x).alias("__px"), F.col(y).alias("__py")).filter("__px is not null and __py is not null"))
+    finite = lambda c: c.isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731  (NaN is above infinity)
+    t = cut(targets.select(F.col(target).alias("__t"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter(finite(F.col("__x")) & finite(F.col("__y"))))
+    p = points.select(F.col(key).alias("__k"), F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py"))
+    open_ = cut(p.filter(finite(F.col("__px")) & finite(F.col("__py"))))
     if t.isEmpty():
-        return p.select(F.col("__k").alias(key), F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
-    done, reach, open_ = None, 1, p
+        return open_.select(F.col("__k").alias(key), F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
+    done = None
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while not open_.isEmpty():
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
-        near = open_.withColumn("__dx", F.explode(ring)).withColumn("__dy", F.explode(ring))
-        near = near.withColumns({"__bx": F.floor(F.col("__px") / size) + F.col("__dx"), "__by": F.floor(F.col("__py") / size) + F.col("__dy")})
+        filed = t.withColumns({"__bx": F.floor(F.col("__x") / size), "__by": F.floor(F.col("__y") / size)})
+        near = open_.withColumn("__o", around)
+        near = near.withColumns({"__bx": F.floor(F.col("__px") / size) + F.col("__o.i"), "__by": F.floor(F.col("__py") / size) + F.col("__o.j")})
         d = F.hypot(F.col("__px") - F.col("__x"), F.col("__py") - F.col("__y"))
-        best = near.join(t, ["__bx", "__by"]).groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("b"))
-        sure = cut(best.filter(F.col("b.d") <= reach * size).select(F.col("__k").alias(key), F.col("b.t").alias(target), F.col("b.d").alias("distance")))
+        best = near.join(filed, ["__bx", "__by"]).groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("b"))
+        sure = cut(best.filter(F.col("b.d") <= size).select(F.col("__k").alias(key), F.col("b.t").alias(target), F.col("b.d").alias("distance")))
         done = sure if done is None else done.unionByName(sure)
         open_ = cut(open_.join(sure.select(F.col(key).alias("__k")), "__k", "left_anti"))
-        reach *= 2
-        if reach > 64:  # the rest is far from everything: every target against the few points left, in blocks of targets
-            best = open_.crossJoin(t).groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("b"))
-            return done.unionByName(best.select(F.col("__k").alias(key), F.col("b.t").alias(target), F.col("b.d").alias("distance")))
+        size *= 2
     return done
 
 
@@ -164,31 +165,36 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, size:
 TILE = 128
 
 
-def _settle(strict_tile: int):
+def _settle(tile: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Within one tile and its rim, the lowest level at which each cell is reached; a heap from what is known."""
+        """Within one tile and its rim, the lowest level at which each cell is reached: a heap over flat arrays with a wall around."""
         import heapq
 
         own = pdf[~pdf.halo]
-        cost = dict(zip(zip(own.r, own.c, strict=True), own.z, strict=True))
-        best = dict(zip(zip(own.r, own.c, strict=True), own.best, strict=True))
-        heap = [(b, r, c) for (r, c), b in best.items() if b < np.inf]
-        rim = pdf[pdf.halo & (pdf.best < np.inf)]
-        heap += list(zip(rim.best, rim.r, rim.c, strict=True))
+        tr, tc = int(pdf.tr.iloc[0]), int(pdf.tc.iloc[0])
+        wide = tile + 2
+        place = lambda f: ((f.r.to_numpy() - tr * tile + 1) * wide + f.c.to_numpy() - tc * tile + 1).astype(int)
+        cost = np.full(wide * wide, np.inf)
+        best = np.full(wide * wide, -np.inf)  # outside the tile nothing gets better
+        here = place(own)
+        cost[here], best[here] = own.z, own.best
+        before = own.best.to_numpy()
+        rim = pdf[pdf.halo]
+        heap = [(b, k) for b, k in zip(before.tolist(), here.tolist(), strict=True) if b < np.inf] + list(zip(rim.best.tolist(), place(rim).tolist(), strict=True))
         heapq.heapify(heap)
+        cost, best = cost.tolist(), best.tolist()
         while heap:
-            b, r, c = heapq.heappop(heap)
-            if (r, c) in best and best[r, c] < b:
+            b, k = heapq.heappop(heap)
+            if best[k] < b and best[k] > -np.inf:
                 continue
-            for dr, dc in FOUR:
-                n = (r + dr, c + dc)
-                if n in cost and (v := max(b, cost[n])) < best[n]:
-                    best[n] = v
-                    heapq.heappush(heap, (v, *n))
-        out = own[["r", "c", "z"]].copy()
-        out["best"] = [best[k] for k in zip(own.r, own.c, strict=True)]
-        out["changed"] = out.best.to_numpy() < own.best.to_numpy()
-        return out
+            for n in (k - wide, k - 1, k + 1, k + wide):
+                if 0 <= n < len(best):
+                    v = cost[n] if cost[n] > b else b
+                    if v < best[n]:
+                        best[n] = v
+                        heapq.heappush(heap, (v, n))
+        after = np.array(best)[here]
+        return own[["r", "c", "z"]].assign(best=after, changed=after < before, tr=tr, tc=tc)
 
     return run
 
@@ -197,28 +203,34 @@ def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int = TI
     """(r, c, z, level): the lowest water level at which a cell is joined with a seed, 4-connected.
 
     It is the smallest maximum of heights along any way from a seed. Tiles of fixed size settle themselves with a
-    heap (they fit in a task whatever the grid) and pass their rims on; rounds count tiles along a way, not cells.
+    heap (they fit in a task whatever the grid) and pass their rims on; rounds count tiles along a way, not cells, and only
+    tiles whose neighbours' rims fell are at work in a round.
     A cell is in the pool at level L exactly if its level is below L, so one pass answers every level.
     """
     seed = seeds.select("r", "c").distinct().withColumn("__s", F.lit(True))
-    state = cut(grid.select("r", "c", F.col(z).cast("double").alias("z")).join(seed, ["r", "c"], "left").select("r", "c", "z", F.when(F.col("__s"), F.col("z")).otherwise(F.lit(float("inf"))).alias("best")))
-    while True:
-        home = state.select("r", "c", "z", "best", F.lit(False).alias("halo"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
-        edge = state.filter((F.col("best") < float("inf")) & ((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)))
-        rims = []
-        for dr, dc in FOUR:
-            tr, tc = F.floor((F.col("r") + dr) / tile), F.floor((F.col("c") + dc) / tile)
-            moved = edge.select("r", "c", "z", "best", F.lit(True).alias("halo"), tr.alias("tr"), tc.alias("tc"), F.floor(F.col("r") / tile).alias("hr"), F.floor(F.col("c") / tile).alias("hc"))
-            rims.append(moved.filter("tr <> hr or tc <> hc").drop("hr", "hc"))
-        rows = home
-        for x in rims:
-            rows = rows.unionByName(x)
-        got = rows.groupBy("tr", "tc").applyInPandas(_settle(tile), "r int, c int, z double, best double, changed boolean")
-        new = cut(got)
+    at = lambda r, c: (F.floor(r / tile).alias("tr"), F.floor(c / tile).alias("tc"))
+    state = grid.select("r", "c", F.col(z).cast("double").alias("z")).join(seed, ["r", "c"], "left")
+    state = cut(state.select("r", "c", "z", F.when(F.col("__s"), F.col("z")).otherwise(F.lit(float("inf"))).alias("best"), *at(F.col("r"), F.col("c")), F.lit(False).alias("changed")))
+    dirty = cut(state.filter(F.col("best") < float("inf")).select("tr", "tc").distinct())
+    rims = None
+    while not dirty.isEmpty():
+        # Tiles are named by their number: a list of those at work, far shorter than the cells.
+        work = state.join(small(dirty), ["tr", "tc"], "left_semi").select("r", "c", "z", "best", F.lit(False).alias("halo"), "tr", "tc")
+        if rims is not None:
+            work = work.unionByName(rims.join(small(dirty), ["tr", "tc"], "left_semi"))
+        got = cut(work.groupBy("tr", "tc").applyInPandas(_settle(tile), "r int, c int, z double, best double, changed boolean, tr long, tc long"))
+        rest = state.join(small(dirty), ["tr", "tc"], "left_anti").withColumn("changed", F.lit(False))
+        new = cut(rest.unionByName(got.select(*rest.columns)))
         drop_cut(state)
-        state = new.select("r", "c", "z", "best")
-        if new.filter("changed").isEmpty():
-            return state.select("r", "c", "z", F.when(F.col("best") < float("inf"), F.col("best")).alias("level"))
+        state = new
+        moved = state.filter(F.col("changed") & ((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)))
+        sent = [moved.select("r", "c", "z", "best", F.lit(True).alias("halo"), *at(F.col("r") + dr, F.col("c") + dc), F.col("tr").alias("hr"), F.col("tc").alias("hc")) for dr, dc in FOUR]
+        out = sent[0]
+        for x in sent[1:]:
+            out = out.unionByName(x)
+        rims = cut(out.filter("tr <> hr or tc <> hc").drop("hr", "hc"))
+        dirty = cut(rims.select("tr", "tc").distinct().join(small(state.select("tr", "tc").distinct()), ["tr", "tc"], "left_semi"))
+    return state.select("r", "c", "z", F.when(F.col("best") < float("inf"), F.col("best")).alias("level"))
 
 
 def stage_storage(levels: DataFrame, at: DataFrame, cell_area: float = 1.0) -> DataFrame:

@@ -162,7 +162,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, size:
 
 # --- bottleneck levels ---------------------------------------------------------------------------------------------
 
-TILE = 128
+TILE = 256
 
 
 def _settle(tile: int):
@@ -218,7 +218,7 @@ def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int = TI
         work = state.join(small(dirty), ["tr", "tc"], "left_semi").select("r", "c", "z", "best", F.lit(False).alias("halo"), "tr", "tc")
         if rims is not None:
             work = work.unionByName(rims.join(small(dirty), ["tr", "tc"], "left_semi"))
-        got = cut(work.groupBy("tr", "tc").applyInPandas(_settle(tile), "r int, c int, z double, best double, changed boolean, tr long, tc long"))
+        got = work.groupBy("tr", "tc").applyInPandas(_settle(tile), "r int, c int, z double, best double, changed boolean, tr long, tc long")
         rest = state.join(small(dirty), ["tr", "tc"], "left_anti").withColumn("changed", F.lit(False))
         new = cut(rest.unionByName(got.select(*rest.columns)))
         drop_cut(state)
@@ -228,7 +228,7 @@ def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int = TI
         out = sent[0]
         for x in sent[1:]:
             out = out.unionByName(x)
-        rims = cut(out.filter("tr <> hr or tc <> hc").drop("hr", "hc"))
+        rims = out.filter("tr <> hr or tc <> hc").drop("hr", "hc")
         dirty = cut(rims.select("tr", "tc").distinct().join(small(state.select("tr", "tc").distinct()), ["tr", "tc"], "left_semi"))
     return state.select("r", "c", "z", F.when(F.col("best") < float("inf"), F.col("best")).alias("level"))
 

@@ -6,6 +6,7 @@ spill level is below L, so pools, rims, extents and inverse levels are aggregati
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
@@ -321,36 +322,51 @@ def pinned_rise(curve: DataFrame, times: DataFrame, start: float, top: float, lo
     return asked.join(at, "f").select(t, (F.lit(low) + F.col("u") * (high - low)).alias(level))
 
 
+def _line(xs: list[float], ys: list[float]):
+    """Linear interpolation with its ends held, for many single values."""
+
+    def at(x: float) -> float:
+        k = bisect.bisect_right(xs, x)
+        if k == 0:
+            return ys[0]
+        if k == len(xs):
+            return ys[-1]
+        return ys[k - 1] + (ys[k] - ys[k - 1]) * (x - xs[k - 1]) / (xs[k] - xs[k - 1])
+
+    return at
+
+
 def drained(curve: list[tuple[float, float]], volume: float, inflow, outflow, crest: float, step: float = 60.0, every: float = 900.0, most: float = 86_400.0) -> list[tuple[float, float, float]]:
     """(t, level, volume) frames of a lake that drains: a water balance between the curve's floor and the crest.
 
     curve: (level, volume) pairs that rise strictly; inflow, outflow: functions of the time. The last frame is the one at the floor.
     """
-    z, v = (np.array(x, float) for x in zip(*curve, strict=True))
-    low, high = float(v[0]), float(np.interp(crest, z, v))
+    z, v = (list(map(float, x)) for x in zip(*curve, strict=True))
+    level_of, low, high = _line(v, z), v[0], _line(z, v)(crest)
     frames, t, last = [], 0.0, None
     while t <= most + 1e-6:
-        level = float(np.interp(np.clip(volume, low, high), v, z))
         if last is None or t - last >= every - 1e-6:
+            level = level_of(min(max(volume, low), high))
             frames.append((t, level, volume))
             last = t
             if t > 0 and level <= z[0] + 1e-6:
                 break
-        volume = float(np.clip(volume + (inflow(t) - outflow(t)) * step, low, high))
+        volume = min(max(volume + (inflow(t) - outflow(t)) * step, low), high)
         t += step
     return frames
 
 
 def lake_frames(lakes: DataFrame) -> DataFrame:
-    """(id, t, level, volume) of draining lakes, a lake a task: (id, curve as array of struct(level, volume), volume, crest, inflow,
+    """(id, t, level, volume) of draining lakes, spread over tasks: (id, curve as array of struct(level, volume), volume, crest, inflow,
     and release as array of struct(t, q))."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x in pdf.itertuples():
-            ts, qs = [p["t"] for p in x.release], [p["q"] for p in x.release]
-            got = drained([(p["level"], p["volume"]) for p in x.curve], x.volume, lambda t, x=x: x.inflow, lambda t, ts=ts, qs=qs: float(np.interp(t, ts, qs)), x.crest)
-            out += [(x.id, *f) for f in got]
-        return pd.DataFrame(out, columns=["id", "t", "level", "volume"])
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for x in pdf.itertuples():
+                release = _line([p["t"] for p in x.release], [p["q"] for p in x.release])
+                got = drained([(p["level"], p["volume"]) for p in x.curve], x.volume, lambda t, x=x: x.inflow, release, x.crest)
+                out += [(x.id, *f) for f in got]
+            yield pd.DataFrame(out, columns=["id", "t", "level", "volume"])
 
-    return lakes.groupBy("id").applyInPandas(run, "id long, t double, level double, volume double")
+    return lakes.repartition("id").mapInPandas(run, "id long, t double, level double, volume double")

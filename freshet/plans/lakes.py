@@ -241,7 +241,7 @@ def capped_lakes(spark, d):
 b(id, t, v) AS (SELECT id, 0, v0 FROM lake UNION ALL SELECT b.id, b.t + 60, greatest(0, least(top, b.v + (inflow - greatest(0, q * (1 - b.t / 43200.0))) * 60)) FROM b JOIN lake USING (id) WHERE b.t < 86400),
 f AS (SELECT id, t, v, v / top * height_m AS level FROM b JOIN lake USING (id) JOIN dams USING (id) WHERE t % 900 = 0),
 e AS (SELECT id, min(t) AS stop FROM f WHERE t > 0 AND level <= 1e-6 GROUP BY id)
-SELECT id, count(*)::BIGINT AS n_frames, max(t)::DOUBLE AS last_t, round(min(level), 4) AS lowest, round(arg_max(v, t), 1) AS last_volume FROM f LEFT JOIN e USING (id) WHERE stop IS NULL OR t <= stop GROUP BY id""".replace("lake AS", "--,\nlake AS", 1),
+SELECT id, count(*)::BIGINT AS n_frames, max(t)::DOUBLE AS last_t, round(min(v), 1) AS least_volume, round(arg_max(v, t), 1) AS last_volume FROM f LEFT JOIN e USING (id) WHERE stop IS NULL OR t <= stop GROUP BY id""".replace("lake AS", "--,\nlake AS", 1),
         "dams", recursive=True,
     )
 )
@@ -258,8 +258,8 @@ def draining_lakes(spark, d):
         (20.0 + k % 30).alias("inflow"),
         F.array(out(0.0, 300.0 + k % 200), out(43_200.0, F.lit(0.0)), out(86_400.0, F.lit(0.0))).alias("release"),
     )
-    got = impound.lake_frames(lakes).groupBy("id").agg(F.count("*").alias("n_frames"), F.max("t").alias("last_t"), F.min("level").alias("lowest"), F.max_by("volume", "t").alias("v"))
-    return got.select("id", "n_frames", "last_t", F.round("lowest", 4).alias("lowest"), F.round("v", 1).alias("last_volume"))
+    got = impound.lake_frames(lakes).groupBy("id").agg(F.count("*").alias("n_frames"), F.max("t").alias("last_t"), F.min("volume").alias("least"), F.max_by("volume", "t").alias("v"))
+    return got.select("id", "n_frames", "last_t", F.round("least", 1).alias("least_volume"), F.round("v", 1).alias("last_volume"))
 
 
 @query(V.sql(f"--,\n{_SPILL}, f AS (SELECT x::DOUBLE AS t, (15 + x * 6)::DOUBLE AS level FROM range(6) AS q(x)) SELECT f.t, f.level, cells.r, cells.c, (f.level - cells.z)::DOUBLE AS depth FROM f JOIN best ON best.level < f.level JOIN cells ON cells.r = best.r AND cells.c = best.c", "cells", recursive=True))

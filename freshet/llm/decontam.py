@@ -334,7 +334,6 @@ def _hits(index, column: pa.Array) -> dict:
 
 
 ITEMS = "array<struct<item_id: long, edits: int, words: int>>"
-SCHEMA = f"id long, text string, items {ITEMS}"
 
 
 def _report(shared):
@@ -357,13 +356,16 @@ def _report(shared):
 
 
 def find(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, items): one row for each document, with the items that it holds; each block is one more pass over the rows."""
+    """(id, items): one row for each document, with the items that it holds; each block is one more pass over the rows.
+
+    Documents' keys may be of any type; items' keys are whole numbers.
+    """
     sc = docs.sparkSession.sparkContext
     short_batches(docs.sparkSession)
     none = F.array().cast(ITEMS).alias("items")
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"), none)
+    rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text"), none)
     for block in blocks(bench, item_key, item_text):
-        rows = rows.mapInArrow(_report(sc.broadcast(Index(block))), SCHEMA)
+        rows = rows.mapInArrow(_report(sc.broadcast(Index(block))), rows.schema)
     return rows.select("id", "items")
 
 

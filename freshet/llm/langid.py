@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm import htmltext, vec
 from freshet.llm.common import cut, spread
@@ -67,6 +68,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     have = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(TRAIN_ROWS)) / F.col("count"))
     draw = F.conv(F.substring(spread(F.col("id"), "lang"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    # A row for each language.
     part = rows.join(F.broadcast(have), "lang").filter(draw < share).select("lang", "text")
     found = part.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found.lang.unique())
@@ -115,8 +117,9 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], key: str = "
     langs, logp = model
     n = len(langs)
     sc = pages.sparkSession.sparkContext
-    rows = pages.select(pages[f"`{key}`"].cast("long").alias("id"), pages[f"`{url}`"].alias("url"), pages[f"`{html}`"].alias("html"))
-    read = rows.mapInArrow(_read(sc.broadcast(logp)), "id long, url string, declared string, text array<long>")
+    rows = pages.select(pages[f"`{key}`"].alias("id"), pages[f"`{url}`"].cast("string").alias("url"), pages[f"`{html}`"].cast("string").alias("html"))
+    kind = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("declared", T.StringType()), T.StructField("text", T.ArrayType(T.LongType()))])
+    read = rows.mapInArrow(_read(sc.broadcast(logp)), kind)
     read = read.withColumn("host", host(F.col("url")))
     read = cut(read.select("id", "declared", "text", "host", F.substring_index("host", ".", -1).alias("suffix")))
     by_host, by_suffix = cut(_sums(read, "host", n)), cut(_sums(read, "suffix", n))

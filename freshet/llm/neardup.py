@@ -18,7 +18,7 @@ So no link is lost to the choice of stars, and a bucket full of near copies is n
 exactly the threshold share no band with probability (1 - 0.8**6)**54, about 7e-8.
 
 Null, empty and blank texts have no shingles and are linked with nothing, nor are rows with a null key, which no link could
-name; all of them are kept. Keys are expected to be unique; rows repeated as a whole share their result. An empty table gives no rows. Sketching is vectorised Python (free style); joins and aggregations are
+name; all of them are kept. Keys are whole numbers, since the smallest names a component, and expected to be unique; rows repeated as a whole share their result. An empty table gives no rows. Sketching is vectorised Python (free style); joins and aggregations are
 Spark's, on slim rows; full sets are rebuilt from the texts of candidates only.
 """
 

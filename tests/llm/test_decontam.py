@@ -161,3 +161,11 @@ def test_blocks_give_the_same_report(spark, data, docs, monkeypatch):
     whole = sorted(map(repr, decontam.report(docs, bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
     assert sorted(map(repr, decontam.report(docs, bench).collect())) == whole and len(whole) == docs.count()
+
+
+def test_keys_of_any_type(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([("a1", f"x {item} y"), (None, "z"), ("a1", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontam.report(docs, bench)
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and sorted((str(r.doc_id), r.contaminated) for r in got.collect()) == [("None", False), ("a1", False), ("a1", True)]

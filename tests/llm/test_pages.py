@@ -175,3 +175,11 @@ def test_fused_evidence_against_brute_force(spark, data, model):
     assert len(got) == len(want)
     for r in got:
         assert r.lang == want[r.page_id][0] and abs(r.confidence - want[r.page_id][1]) < 2e-6
+
+
+def test_odd_pages_have_a_language(spark, model):
+    german = "die schule ist in der stadt und das haus steht auf dem berg " * 4
+    rows = [("a", "http://h.de/1", f"<p>{german}", "x", "y", "z", "t"), ("a", "http://h.de/1", f"<p>{german}", "x", "y", "z", "t"), (None, None, None, None, None, None, None)]
+    rows += [("long", "http://h.de/2", "<p>" + german * 2000, None, None, None, None), ("blank", "http://h.de/3", " ", None, None, None, None)]
+    got = langid.identify(spark.createDataFrame(rows, "page_id string, url string, html string, lang string, host string, declared string, text string"), model).collect()
+    assert len(got) == 5 and {r.lang for r in got if r.host == "h.de"} == {"de"} and len({(r.lang, r.confidence) for r in got if r.page_id == "a"}) == 1

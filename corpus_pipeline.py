@@ -2,6 +2,12 @@
 
 Each stage reads what the one before it kept, written as Parquet in the shared folder, so no stage is computed twice
 and a lost executor costs at most the stage that runs.
+
+Texts may be null, empty or of any length: a text without ten words goes in the first stage, all others pass as they are. Nulls in
+other columns stay nulls; a null source is a source of its own, a row with a null key is never a near-duplicate. Of near-duplicates
+the smallest key stays; rows repeated as a whole stay or go together and take a place in a shard each. An empty table passes
+through as one. Columns beyond those of documents come along; where one of them is called shard or slot, the last stage's
+columns get the next free number at their end. tests/llm/test_pipeline.py holds a run against plain versions of all stages.
 """
 
 from __future__ import annotations

@@ -159,4 +159,10 @@ c AS (SELECT p.source, max(key) AS cut_key FROM p JOIN b ON p.source IS NOT DIST
 SELECT doc_id, size, source_size, target, size * times AS taken, times, source FROM (
   SELECT d.doc_id, d.size, b.source_size, b.target, (epochs + coalesce(key <= cut_key, false)::INT)::BIGINT AS times, d.source
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source)""",
+    # The given pages mark their article and hold only these blocks, inline tags and references.
+    "op10_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import numerics, series
 from freshet.plans.base import registry
+from freshet.plans.places import _ARMS
 from freshet.sources import views as V
 
 QUERIES, ORACLE, query = registry()
@@ -106,10 +107,23 @@ def densified_times(spark, d):
     return all_.join(have.withColumn("exact", F.lit(True)), "t", "left").select("t", F.when(F.col("exact"), "exact").otherwise("interpolated").alias("kind"))
 
 
-@query()
+@query(
+    V.sql(
+        "--,\n"
+        + _ARMS
+        + """, arm AS (SELECT cl.id, cl.method, height_m AS h, volume_m3 AS v0, width_m AS w, CASE cl.method WHEN 'macdonald' THEN 0.5 ELSE 1.0 END AS side, greatest(time_h * 3600.0, 300.0) AS tf FROM cl JOIN dams USING (id)),
+step(id, method, i, v, q) AS (SELECT id, method, 0, v0, 0.0::DOUBLE FROM arm UNION ALL
+ SELECT id, method, i + 1, greatest(0, v - flow * 300), flow FROM (SELECT s.id, s.method, s.i, s.v, least(greatest(0, 1.7 * (w * share) * pow(head, 1.5) + 1.35 * side * pow(head, 2.5)), greatest(0, s.v / 300)) AS flow
+  FROM step s JOIN arm a USING (id, method), LATERAL (SELECT least(1, s.i * 300 / tf) AS share) x, LATERAL (SELECT greatest(0, CASE WHEN s.v > 0 THEN h * pow(s.v / v0, 1.0 / 3.0) ELSE 0 END - h * (1 - share)) AS head) y
+  WHERE s.i * 300 <= 12 * tf AND NOT (s.v <= 1e-4 * v0 AND s.i * 300 > tf))),
+peaks AS (SELECT id, method, max(q) AS peak FROM step GROUP BY id, method)
+SELECT id, method, ['optimistic', 'central', 'pessimistic'][row_number() OVER (PARTITION BY id ORDER BY peak, method)] AS label, round(peak, 3) AS peak FROM peaks""",
+        "dams", recursive=True,
+    )
+)
 def breach_route_ode(spark, d):
     """Routed peaks of all arms of all dams, and their labels by routed peak."""
-    routed = numerics.route_breaches(numerics.breach_arms(V.dams(spark, d)).repartition("id", "method"), 300.0)
+    routed = numerics.route_breaches(numerics.breach_arms(V.dams(spark, d)), 300.0)
     return numerics.relabel(routed).select("id", "method", "label", F.round("peak", 3).alias("peak"))
 
 

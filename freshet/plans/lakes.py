@@ -224,7 +224,19 @@ def pinned_rise(spark, d):
     return impound.pinned_rise(level, times, -180.0, -45.0, 203.6, 206.0).select("t", six(F.col("level")).alias("level"))
 
 
-@query()
+@query(
+    V.sql(
+        """--,
+k AS (SELECT (r // 10) * 1000 + c // 10 AS lake, r, c, r * 1000 + c AS cell, z::DOUBLE AS z FROM cells), seed AS (SELECT lake, arg_min(cell, (z, r, c)) AS cell, min(z) AS low FROM k GROUP BY lake),
+f AS (SELECT lake, cell, low, unnest([{'level': 15.0::DOUBLE, 'most': 100}, {'level': 30.0::DOUBLE, 'most': 100}, {'level': 30.0::DOUBLE, 'most': 5}]) AS f FROM seed),
+p(lake, low, level, most, n, pool) AS (SELECT lake, low, f.level, f.most, 1, [cell] FROM f UNION ALL
+ SELECT p.lake, p.low, p.level, p.most, p.n + 1, list_append(any_value(p.pool), arg_min(k.cell, (k.z, k.r, k.c))) FROM p JOIN k ON k.lake = p.lake AND k.z >= p.low AND k.z <= p.level
+ WHERE p.n < p.most AND NOT list_contains(p.pool, k.cell) AND list_has_any(p.pool, [k.cell - 1000, k.cell + 1000, k.cell - 1, k.cell + 1]) GROUP BY p.lake, p.low, p.level, p.most, p.n),
+e AS (SELECT lake, level, most, max(n) AS n, arg_max(pool, n) AS pool FROM p GROUP BY lake, level, most), c AS (SELECT lake, level, most, n, unnest(pool) AS cell FROM e)
+SELECT c.lake::BIGINT AS lake, level, CASE WHEN n >= most THEN 'AREA' ELSE 'TERRAIN' END AS binding, count(*)::BIGINT AS n_cells, sum(greatest(0, level - k.z))::DOUBLE AS volume FROM c JOIN k ON k.lake = c.lake AND k.cell = c.cell GROUP BY ALL""",
+        "cells", recursive=True,
+    )
+)
 def capped_lakes(spark, d):
     """A lake in every block of ten by ten cells, grown from its lowest cells to several levels and sizes."""
     cells = V.cells(spark, d).withColumn("lake", (F.floor(F.col("r") / 10) * 1000 + F.floor(F.col("c") / 10)).cast("long"))

@@ -127,7 +127,20 @@ def breach_route_ode(spark, d):
     return numerics.relabel(routed).select("id", "method", "label", F.round("peak", 3).alias("peak"))
 
 
-@query()
+@query(
+    V.sql(
+        """--,
+cfg AS (SELECT id, 2000.0::DOUBLE + (id % 10) * 400 AS peak, 2e7 + (id % 7) * 1e6 AS vol FROM dams), a AS (SELECT id, vol / pow(20.0::DOUBLE, 2.5) AS alpha, vol FROM cfg),
+up AS (SELECT id, i, 50 + (peak - 50) * CASE WHEN s < 0 OR s > 10800 THEN 0 WHEN s <= 1890 THEN s / 1890 ELSE (10800 - s) / 8910 END AS q FROM (SELECT id, i, peak, (-9000 + i * 60 + 7200)::DOUBLE AS s FROM cfg, range(271) AS r(i))),
+routed(id, i, q, o) AS (SELECT id, 0, q, q FROM up WHERE i = 0 UNION ALL SELECT u.id, u.i::INT, u.q, greatest(0, (60 - 1440) / 5820.0::DOUBLE * u.q + (60 + 1440) / 5820.0::DOUBLE * r.q + 5700 / 5820.0::DOUBLE * r.o) FROM routed r JOIN up u ON u.id = r.id AND u.i = r.i + 1),
+st(id, i, v, z, opened, qb) AS (SELECT id, 0, vol, 120.0::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE FROM a UNION ALL
+ SELECT id, i + 1, nv, 100 + pow(greatest(0, nv) / alpha, 0.4), op, tb FROM (SELECT w.*, v + (o - ta - tb) * 60 AS nv FROM (SELECT y.*, sa * CASE WHEN (sa + sb) * 60 > v + o * 60 THEN (v + o * 60) / ((sa + sb) * 60) ELSE 1 END AS ta, sb * CASE WHEN (sa + sb) * 60 > v + o * 60 THEN (v + o * 60) / ((sa + sb) * 60) ELSE 1 END AS tb
+  FROM (SELECT x.*, least(400, CASE WHEN z > 120 THEN pow(greatest(0, z - 119), 1.5) * 2.15 * 60 ELSE greatest(0, o) END) AS sa, CASE WHEN 120 * share > 1 THEN 1.7 * 120 * share * pow(greatest(0, z - (121.5 - 21.5 * share)), 1.5) + 1.35 * pow(greatest(0, z - (121.5 - 21.5 * share)), 2.5) ELSE 0 END AS sb
+   FROM (SELECT s.id, s.i, s.v, s.z, a.alpha, r.o, t.op, CASE WHEN t.op IS NULL THEN 0 ELSE least(1, (-9000 + s.i * 60 - t.op) / 1800.0) END AS share FROM st s JOIN a USING (id) JOIN routed r ON r.id = s.id AND r.i = s.i, LATERAL (SELECT coalesce(s.opened, CASE WHEN s.z >= 121.5 THEN (-9000 + s.i * 60)::DOUBLE END) AS op) t) x) y) w) q)
+SELECT id, max(opened) AS opened_s, round(max(qb) FILTER (i <= 270), 3) AS peak_q, true AS closed FROM st GROUP BY id""",
+        "dams", recursive=True,
+    )
+)
 def cascade_reservoir(spark, d):
     k = F.col("id")
     config = F.to_json(

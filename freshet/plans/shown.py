@@ -13,7 +13,7 @@ from freshet.functions import hydraulics as H
 from freshet.functions import scoring as S
 from freshet.operators import geometry, graph, lists, numerics, validate
 from freshet.operators import consequence as C
-from freshet.plans import places, roads
+from freshet.plans import roads
 from freshet.plans.base import registry
 from freshet.sources import runs
 from freshet.sources import views as V

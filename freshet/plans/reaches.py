@@ -48,7 +48,22 @@ def _reaches(spark, d):
     return V.cells(spark, d).select(F.col("r").alias("reach"), F.col("c").alias("k"), "r", "c")
 
 
-@query()
+@query(
+    V.sql(
+        """--,
+sn AS (SELECT reach, k, arg_min(r, (z, o))::INT AS r, c FROM (SELECT a.r AS reach, a.c AS k, b.r, b.c, b.z, a.r - b.r AS o FROM cells a JOIN cells b ON a.c = b.c AND abs(a.r - b.r) <= 1) GROUP BY reach, k, c),
+st AS (SELECT *, lead(r) OVER w AS nr, lead(c) OVER w AS nc FROM sn WINDOW w AS (PARTITION BY reach ORDER BY k)),
+co AS (SELECT reach, k + 0.5 AS k, arg_min(x.r, (x.z, x.o)) AS r, arg_min(x.c, (x.z, x.o)) AS c FROM (SELECT st.reach, st.k, cells.r, cells.c, cells.z, CASE WHEN cells.r = st.r THEN 0 ELSE 1 END AS o FROM st JOIN cells ON (cells.r = st.r AND cells.c = st.nc) OR (cells.r = st.nr AND cells.c = st.c) WHERE abs(st.nr - st.r) = 1 AND abs(st.nc - st.c) = 1) x GROUP BY reach, k),
+al AS (SELECT reach, row_number() OVER (PARTITION BY reach ORDER BY k) - 1 AS k, r, c FROM (SELECT reach, k::DOUBLE AS k, r, c FROM sn UNION ALL SELECT * FROM co)),
+pz AS (SELECT al.*, z::DOUBLE AS z, c BETWEEN 20 AND 22 AS kept, count(*) OVER (PARTITION BY reach) AS n FROM al JOIN cells USING (r, c)),
+en AS (SELECT reach, avg(z) FILTER (k < greatest(1, n // 10)) AS f, avg(z) FILTER (k >= n - greatest(1, n // 10)) AS l FROM pz GROUP BY reach),
+j AS (SELECT pz.*, CASE WHEN l > f THEN n - 1 - k ELSE k END AS j FROM pz JOIN en USING (reach)),
+i AS (SELECT *, sum((kept OR before)::INT) OVER (PARTITION BY reach ORDER BY j) AS island FROM (SELECT *, coalesce(lag(kept) OVER (PARTITION BY reach ORDER BY j), false) AS before FROM j)),
+t AS (SELECT *, CASE WHEN kept THEN z ELSE min(z) OVER (PARTITION BY reach, island ORDER BY j) END AS target FROM i)
+SELECT reach, count(*)::BIGINT AS n_cells, max(z - target) AS deepest, sum(z - target) AS cut, max(z - target) <= 45 AS accepted FROM t GROUP BY reach""",
+        "cells",
+    )
+)
 def conditioned_reaches(spark, d):
     cells = V.cells(spark, d).withColumn("z", F.col("z").cast("double"))
     protect = cells.filter("c between 20 and 22")
@@ -56,9 +71,9 @@ def conditioned_reaches(spark, d):
     return report.select("reach", "n_cells", "deepest", "cut", "accepted")
 
 
-@query(V.sql("SELECT reach, k, arg_min(r, (z, o))::INT AS r, c, min(z)::INT AS z FROM (SELECT a.r AS reach, a.c AS k, b.r, b.c, b.z, a.r - b.r AS o FROM cells a JOIN cells b ON a.c = b.c AND abs(a.r - b.r) <= 1 WHERE a.r % 5 = 2) GROUP BY reach, k, c".replace("a.r - b.r AS o", "a.r - b.r AS o"), "cells"))
+@query(V.sql("SELECT reach, k, arg_min(r, (z, o))::INT AS r, c, min(z)::INT AS z FROM (SELECT a.r AS reach, a.c AS k, b.r, b.c, b.z, a.r - b.r AS o FROM cells a JOIN cells b ON a.c = b.c AND abs(a.r - b.r) <= 1) GROUP BY reach, k, c", "cells"))
 def snapped_reaches(spark, d):
-    return lines.snap_across(_reaches(spark, d).filter("reach % 5 = 2"), V.cells(spark, d), 1).select("reach", "k", "r", "c", "z")
+    return lines.snap_across(_reaches(spark, d), V.cells(spark, d), 1).select("reach", "k", "r", "c", "z")
 
 
 _AREA = "m AS (SELECT r, c, (r * 50 + c)::BIGINT AS id FROM cells WHERE z <= 22)"

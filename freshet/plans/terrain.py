@@ -162,9 +162,11 @@ def snap_to_lowest(spark, d):
     return grid.lowest(V.cells(spark, d), 10)
 
 
-@query(V.sql("SELECT t.R AS r, t.C AS c, cells.z FROM (SELECT (x // 20)::INT AS R, (x % 20)::INT AS C FROM range(160) AS q(x)) t LEFT JOIN cells ON cells.r = floor((t.R + 0.5) * 4 / 8) AND cells.c = floor((t.C + 0.5) * 50 / 20)", "cells"))
+@query(V.sql("--,\nn AS (SELECT max(r) + 1 AS n FROM cells) SELECT t.r, t.c, cells.z FROM (SELECT (x // 20)::INT AS r, (x % 20)::INT AS c, n FROM n, (SELECT unnest(generate_series(0, (SELECT 40 * n - 1 FROM n))) AS x)) t LEFT JOIN cells ON cells.r = floor((t.r + 0.5) * t.n / (2 * t.n)) AND cells.c = floor((t.c + 0.5) * 50 / 20)", "cells"))
 def resample_nearest(spark, d):
-    return grid.resample_nearest(V.cells(spark, d).filter("r < 4"), (4, 50), (8, 20)).select("r", "c", "z")
+    cells = V.cells(spark, d)
+    rows = cells.agg(F.max("r")).first()[0] + 1
+    return grid.resample_nearest(cells, (rows, V.WIDTH), (2 * rows, 20)).select("r", "c", "z")
 
 
 @query("SELECT (x // 30)::INT AS r, (x % 30)::INT AS c, round(100 + 200 * pow(abs((x % 30) / 30.0 - (0.5 + 0.1 * sin(6.0 * ((x // 30) / 20.0)))) * 2, 1.5) + 80 * (1 - (x // 30) / 20.0), 6) AS z FROM range(600) AS t(x)")

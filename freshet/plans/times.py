@@ -45,13 +45,17 @@ _CUM = "v AS (SELECT t, coalesce(sum(a) OVER (ORDER BY t), 0) AS v FROM (SELECT
 @query(
     V.sql(
         f"""--,
-{_CUM}, i AS (SELECT x::BIGINT AS t, CASE WHEN a.n IS NULL THEN a.v ELSE a.v + (a.nv - a.v) * ((x - a.t) / (a.n - a.t)) END AS v FROM range(0, 700, 6) AS s(x) ASOF LEFT JOIN (SELECT t, v, lead(t) OVER (ORDER BY t) AS n, lead(v) OVER (ORDER BY t) AS nv FROM v) a ON x >= a.t)
+{_CUM}, i AS (SELECT x::BIGINT AS t, CASE WHEN a.n IS NULL THEN a.v ELSE a.v + (a.nv - a.v) * ((x - a.t) / (a.n - a.t)) END AS v FROM (SELECT unnest(generate_series(0, (SELECT max(t) FROM hydrograph), 6)) AS x UNION SELECT max(t) FROM hydrograph) s ASOF LEFT JOIN (SELECT t, v, lead(t) OVER (ORDER BY t) AS n, lead(v) OVER (ORDER BY t) AS nv FROM v) a ON x >= a.t)
 SELECT t, round(greatest(0, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t))), 6) AS q FROM i WINDOW w AS (ORDER BY t)""",
         "hydrograph",
     )
 )
 def resample_integral_preserving(spark, d):
-    return series.resample_keeping_volume(V.hydrograph(spark, d), series.spine(spark, 0, 699, 6), "t", "q", 24.0).select("t", F.round("q", 6).alias("q"))
+    """Every six hours, and at the last sample, so that no flow is left out."""
+    h = V.hydrograph(spark, d)
+    end = h.agg(F.max("t")).first()[0] or 0
+    times = series.spine(spark, 0, end, 6).union(spark.range(end, end + 1)).distinct()
+    return series.resample_keeping_volume(h, times, "t", "q", 24.0).select("t", F.round("q", 6).alias("q"))
 
 
 @query(

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def mounted(path: str) -> str:
+    """A path of the shared folder as the file system knows it, for documents that are written without Spark."""
+    where = urlparse(path)
+    if where.scheme not in ("", "file"):
+        raise ValueError("these files are written below a mounted folder")
+    os.makedirs(where.path, exist_ok=True)
+    return where.path
+
+
 def cut(df: DataFrame, by: int | None = None) -> DataFrame:
     """The rows, written once to the shared folder and read back, so iterations neither recompute nor lose them."""
     path = shared_dir(df.sparkSession)

@@ -6,8 +6,13 @@ lineage stays short and lost executors cost a round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from freshet.core import cut, drop_cut
@@ -18,15 +23,47 @@ def undirected(edges: DataFrame, *carry: str) -> DataFrame:
     return edges.select(F.col("u").alias("a"), F.col("v").alias("b"), *carry).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), *carry))
 
 
+#: Edges that one task may hold, some tens of bytes each.
+ONE_TASK = 200_000
+
+
+def _settle(keys: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Union-find over a bounded number of edges; the smallest id names a component."""
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        both = pd.concat([pdf[[*keys, "a"]], pdf[[*keys, "b"]].rename(columns={"b": "a"})], ignore_index=True).drop_duplicates().sort_values([*keys, "a"], kind="stable", ignore_index=True)
+        place = both.assign(__i=np.arange(len(both)))
+        at = pdf.merge(place, on=[*keys, "a"]).merge(place.rename(columns={"a": "b", "__i": "__j"}), on=[*keys, "b"])
+        root = list(range(len(both)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j in zip(at["__i"].tolist(), at["__j"].tolist(), strict=True):
+            i, j = top(i), top(j)
+            root[max(i, j)] = min(i, j)
+        ids = both["a"].to_numpy()
+        yield both.rename(columns={"a": "id"}).assign(component=ids[[top(i) for i in range(len(root))]])
+
+    return run
+
+
 def components(edges: DataFrame, keys: list[str] = (), u: str = "u", v: str = "v") -> DataFrame:
     """(keys, id, component): smallest id reachable, per key; nodes without edges are absent.
 
     Alternating stars: first every larger neighbour of a node is hung on the smallest id around it, then a node and its
     smaller neighbours on the smallest of those. Rounds grow with the logarithm of the size, and minima are
-    aggregated before joining back.
+    aggregated before joining back. A graph of no more than ONE_TASK edges is settled by one task, which gives the same.
     """
     keys = list(keys)
     e = cut(edges.select(*keys, F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a <> b").distinct())
+    if e.count() <= ONE_TASK:
+        return e.coalesce(1).mapInPandas(_settle(keys), T.StructType([*(e.schema[k] for k in keys), T.StructField("id", e.schema["a"].dataType), T.StructField("component", e.schema["a"].dataType)]))
     mark = None
     while True:
         both = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.core import shared_dir
+from freshet.core import mounted, shared_dir
 from freshet.functions import scoring as S
 from freshet.operators import lists
 from freshet.plans.base import registry
@@ -41,14 +41,8 @@ def _write_files(named, folder: str) -> None:
 
     def run(frames):
         import os
-        from urllib.parse import urlparse
-
-        where = urlparse(folder)
-        if where.scheme not in ("", "file"):
-            raise ValueError("these files are written below a mounted folder")
-        base = where.path
-        os.makedirs(base, exist_ok=True)
-        n = 0
+
+        base, n = mounted(folder), 0
         for pdf in frames:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
                 part = os.path.join(base, f".{name}.{os.getpid()}")

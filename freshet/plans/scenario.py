@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -67,10 +66,10 @@ def assess(frames: DataFrame, settlements: DataFrame, nodes: DataFrame, edges: D
 
 def run_valley(spark: SparkSession) -> DataFrame:
     """The scenario of a synthetic valley: one row a settlement, with its rank and what became of the run."""
-    from freshet.plans.shown import valley, valley_geometry
+    from freshet.plans.shown import _folder, valley, valley_geometry
 
     cells = spark.createDataFrame(valley(), "r int, c int, z double")
-    with tempfile.TemporaryDirectory() as root:  # the run's own small documents; tables go to the shared folder
+    with _folder(spark) as root:
         request = runs.check_request({"reservoir_level_fraction": 0.9, "duration_s": 600.0, "failure_mode": "overtopping"}, root)
         run = runs.Run.new(root, "valley-1", "valley", request=request, scenario={"provenance": "SYNTHETIC_TERRAIN"})
 

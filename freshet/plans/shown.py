@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import shutil
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from freshet.core import no_nan, ratio
+from freshet.core import mounted, no_nan, ratio, shared_dir
 from freshet.functions import hydraulics as H
 from freshet.functions import scoring as S
 from freshet.operators import geometry, graph, lists, numerics, validate
@@ -345,6 +346,16 @@ def geometry_gate(spark, d):
     return spark.createDataFrame(got, "name string, passed boolean, reason string")
 
 
+@contextmanager
+def _folder(spark):
+    """A folder of the shared one for the documents of some runs, removed with them."""
+    root = mounted(shared_dir(spark))
+    try:
+        yield root
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
 @query(
     """SELECT name, status, shown, valid, frames, layer FROM (VALUES ('good', 'completed', 'done', true, 'served', 'AVAILABLE'), ('unsound', 'completed', 'error', false, 'refused', 'NOT_AVAILABLE'), ('broken', 'failed', 'error', false, 'refused', 'NOT_AVAILABLE'),
  ('stopped', 'interrupted', 'cancelled', false, 'refused', 'NOT_AVAILABLE'), ('joined', 'completed', 'done', true, 'served', 'NOT_AVAILABLE')) AS t(name, status, shown, valid, frames, layer)"""
@@ -352,7 +363,7 @@ def geometry_gate(spark, d):
 def run_lives(spark, d):
     """Runs from request to what a reader is served: one that is valid, one whose check fails, one that breaks, one that is stopped, and
     one joined from two stages."""
-    with tempfile.TemporaryDirectory() as root:
+    with _folder(spark) as root:
 
         def work(ok: bool):
             def do(folder, progress):

@@ -113,7 +113,9 @@ def test_leave_by_against_dijkstra(spark):
         assert got.get(n) == reach(n, links, cuts, {0}, 3.0)
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_against_union_find(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     r = random.Random(9)
     edges = [(t, r.randrange(60), r.randrange(60)) for t in range(3) for _ in range(45)]
     got = {(x.t, x.id): x.component for x in graph.components(spark.createDataFrame(edges, "t int, u long, v long"), ["t"]).collect()}
@@ -133,7 +135,9 @@ def test_components_against_union_find(spark):
         assert {i: c for (k, i), c in got.items() if k == t} == {i: find(i) for i in used}
 
 
-def test_components_of_nothing(spark):
+@pytest.mark.parametrize("one_task", [-1, 200_000])
+def test_components_of_nothing(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -276,3 +280,27 @@ def test_road_states_before_start(spark):
     t = spark.createDataFrame([(-3,), (0,), (5,), (10,)], "t long")
     got = [(r.n_cut, r.n_risk, r.n_open) for r in C.road_states(cuts, t, "t", "cut", 15.0).orderBy("t").collect()]
     assert got == [(0, 0, 3), (0, 1, 2), (1, 1, 1), (1, 1, 1)]
+
+
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_over_time_are_those_of_each_time(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(3)
+    edges = [(r.randrange(40), r.randrange(40), r.choice([None, None, 1, 2, 3])) for _ in range(45)]
+    nodes, times = spark.range(40), spark.createDataFrame([(t,) for t in range(4)], "t_s int")
+    base, over = graph.over_time(spark.createDataFrame(edges, "u long, v long, cut_s int"), nodes, times)
+    of = {x.id: x.base for x in base.collect()}
+    at = {(x.t_s, x.base): x.component for x in over.collect()}
+    for t in range(4):
+        root = list(range(40))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b, c in edges:
+            if c is None or c > t:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        assert {i: at.get((t, of[i]), of[i]) for i in range(40)} == {i: find(i) for i in range(40)}

@@ -165,48 +165,46 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, size:
 TILE = 256
 
 
-def _settle(tile: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Within one tile and its rim, the lowest level at which each cell is reached: a heap over flat arrays with a wall around."""
-        import heapq
-
-        own = pdf[~pdf.halo]
-        tr, tc = int(pdf.tr.iloc[0]), int(pdf.tc.iloc[0])
-        wide = tile + 2
-        place = lambda f: ((f.r.to_numpy() - tr * tile + 1) * wide + f.c.to_numpy() - tc * tile + 1).astype(int)
-        cost = np.full(wide * wide, np.inf)
-        best = np.full(wide * wide, -np.inf)  # outside the tile nothing gets better
-        here = place(own)
-        cost[here], best[here] = own.z, own.best
-        before = own.best.to_numpy()
-        rim = pdf[pdf.halo]
-        heap = [(b, k) for b, k in zip(before.tolist(), here.tolist(), strict=True) if b < np.inf] + list(zip(rim.best.tolist(), place(rim).tolist(), strict=True))
-        heapq.heapify(heap)
-        cost, best = cost.tolist(), best.tolist()
-        while heap:
-            b, k = heapq.heappop(heap)
-            if best[k] < b and best[k] > -np.inf:
-                continue
-            for n in (k - wide, k - 1, k + 1, k + wide):
-                if 0 <= n < len(best):
-                    v = cost[n] if cost[n] > b else b
-                    if v < best[n]:
-                        best[n] = v
-                        heapq.heappush(heap, (v, n))
-        after = np.array(best)[here]
-        return own[["r", "c", "z"]].assign(best=after, changed=after < before, tr=tr, tc=tc)
-
-    return run
-
-
-def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int = TILE) -> DataFrame:
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Within one tile and its rim, the lowest level at which each cell is reached: a heap over flat arrays with a wall around."""
+    import heapq
+
+    own, rim = pdf[~pdf.halo], pdf[pdf.halo]
+    r0, c0 = int(pdf.r.min()) - 1, int(pdf.c.min()) - 1
+    wide, high = int(pdf.c.max()) - c0 + 2, int(pdf.r.max()) - r0 + 2
+    place = lambda f: ((f.r.to_numpy() - r0) * wide + f.c.to_numpy() - c0).astype(int)
+    cost = np.full(wide * high, np.inf)
+    best = np.full(wide * high, -np.inf)  # where the tile has no cell, nothing gets better
+    here = place(own)
+    cost[here], best[here] = own.z, own.best
+    before = own.best.to_numpy()
+    heap = [(b, k) for b, k in zip(before.tolist(), here.tolist(), strict=True) if b < np.inf] + list(zip(rim.best.tolist(), place(rim).tolist(), strict=True))
+    heapq.heapify(heap)
+    cost, best = cost.tolist(), best.tolist()
+    while heap:
+        b, k = heapq.heappop(heap)
+        if -np.inf < best[k] < b:
+            continue
+        for n in (k - wide, k - 1, k + 1, k + wide):
+            v = cost[n] if cost[n] > b else b
+            if v < best[n]:
+                best[n] = v
+                heapq.heappush(heap, (v, n))
+    after = np.array(best)[here]
+    return own[["r", "c", "z"]].assign(best=after, changed=after < before, tr=pdf.tr.iloc[0], tc=pdf.tc.iloc[0])
+
+
+def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int | None = None) -> DataFrame:
     """(r, c, z, level): the lowest water level at which a cell is joined with a seed, 4-connected.
 
     It is the smallest maximum of heights along any way from a seed. Tiles of fixed size settle themselves with a
     heap (they fit in a task whatever the grid) and pass their rims on; rounds count tiles along a way, not cells, and only
-    tiles whose neighbours' rims fell are at work in a round.
+    tiles whose neighbours' rims fell are at work in a round. A grid no larger than a few tiles is one tile.
     A cell is in the pool at level L exactly if its level is below L, so one pass answers every level.
     """
+    if tile is None:
+        box = grid.agg(F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).first()
+        tile = TILE if (box[0] or 0) * (box[1] or 0) > 4 * TILE * TILE else 1 << 30
     seed = seeds.select("r", "c").distinct().withColumn("__s", F.lit(True))
     at = lambda r, c: (F.floor(r / tile).alias("tr"), F.floor(c / tile).alias("tc"))
     state = grid.select("r", "c", F.col(z).cast("double").alias("z")).join(seed, ["r", "c"], "left")
@@ -218,7 +216,7 @@ def spill_levels(grid: DataFrame, seeds: DataFrame, z: str = "z", tile: int = TI
         work = state.join(small(dirty), ["tr", "tc"], "left_semi").select("r", "c", "z", "best", F.lit(False).alias("halo"), "tr", "tc")
         if rims is not None:
             work = work.unionByName(rims.join(small(dirty), ["tr", "tc"], "left_semi"))
-        got = work.groupBy("tr", "tc").applyInPandas(_settle(tile), "r int, c int, z double, best double, changed boolean, tr long, tc long")
+        got = work.groupBy("tr", "tc").applyInPandas(_settle, "r int, c int, z double, best double, changed boolean, tr long, tc long")
         rest = state.join(small(dirty), ["tr", "tc"], "left_anti").withColumn("changed", F.lit(False))
         new = cut(rest.unionByName(got.select(*rest.columns)))
         drop_cut(state)

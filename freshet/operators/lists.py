@@ -13,15 +13,15 @@ from freshet.operators import lines
 ISOLATION_FIELDS = ("isolation_time_min", "isolation_status", "isolation_computed", "evacuation_window_min", "water_arrival_min_isolation")
 
 
-def by_rank(results: DataFrame, most: int | None = None, rank: str = "priority_rank") -> DataFrame:
-    """Ranked rows in their order; the unranked are left out. most: only the first so many."""
-    got = results.filter(F.col(rank).isNotNull()).orderBy(rank)
+def by_rank(results: DataFrame, most: int | None = None, rank: str = "priority_rank", key: str = "id") -> DataFrame:
+    """Ranked rows in their order, those of one rank by key; the unranked are left out. most: only the first so many."""
+    got = results.filter(F.col(rank).isNotNull()).orderBy(rank, key)
     return got.limit(most) if most is not None else got
 
 
 def chosen(results: DataFrame, selected, most: int = 5, key: str = "id", rank: str = "priority_rank") -> DataFrame:
     """The selected row alone, or, where none is selected, the first so many by rank."""
-    return results.filter(F.col(key) == selected) if selected is not None else by_rank(results, most, rank)
+    return results.filter(F.col(key) == selected) if selected is not None else by_rank(results, most, rank, key)
 
 
 def arrived(ranked: DataFrame, records: DataFrame, at: Column, name: str = "village_name") -> DataFrame:
